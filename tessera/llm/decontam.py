@@ -168,7 +168,11 @@ class Index:
             lo = b * s - self.longest
             begin = max(0, lo - k)
             end = min(len(wide), lo + 2 * s + len(self.texts[n]) + k + 1)
-            got = aligned(self.texts[n], wide[begin:end], lo - k - begin, lo + 2 * s + k - begin, k)
+            whole = wide[begin:end].tobytes().find(self.texts[n].tobytes())
+            if whole >= 0 and whole % 4 == 0:  # no edits, so nothing is better
+                got = (0, whole // 4)
+            else:
+                got = aligned(self.texts[n], wide[begin:end], lo - k - begin, lo + 2 * s + k - begin, k)
             if got and (n not in out or (got[0], got[1] + begin) < out[n]):
                 out[n] = (got[0], got[1] + begin)
         return [(self.ids[n], e, p) for n, (e, p) in sorted(out.items())]

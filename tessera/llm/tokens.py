@@ -28,11 +28,21 @@ from .common import new_path, staged
 BLOCK = 1 << 20
 GROUP = 1024
 #: Different units whose ids a worker remembers; longer ones aren't kept.
-CACHE = 400_000
+CACHE = 1_000_000
 LONGEST = 64
 EOD = 50256
 
 
+class _Known(dict):
+    """Ids by unit; a unit that it lacks is noted and given as None."""
+
+    def __init__(self):
+        self.new: set[str] = set()
+
+    def __missing__(self, unit: str) -> None:
+        self.new.add(unit)
+
+
 class Encoder:
     """Ids of a public byte-level BPE vocabulary, by the ``tokenizers`` library.
 
@@ -48,36 +58,55 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.dtype, self.known = dtype, {}
+        self.dtype, self.known = dtype, _Known()
 
     def _encode(self, units: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in got]
 
+    def _units(self, units: set[str]) -> dict[str, bytes]:
+        """The ids of units. A single mark after a letter is always a token
+        run of its own, so a word is encoded once with and without it."""
+        ends = {u: (u[:-1], u[-1]) for u in units if len(u) > 2 and u[-1] in ".," and u[-2].isalpha()}
+        fresh = list({u for u in units if u not in ends} | {w for w, _ in ends.values() if w not in self.known} | set(".,"))
+        got = dict(zip(fresh, self._encode(fresh), strict=True)) if units else {}
+        for u, (w, mark) in ends.items():
+            got[u] = (self.known[w] if w in self.known else got[w]) + got[mark]
+        return got
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
-        known, cut, new = self.known, [], set()
-        if len(known) > CACHE:
-            known.clear()
+        known, out, cut = self.known, [], []
         for t in texts:
-            if "  " in t or t.endswith(" "):
-                cut.append(None)
-                continue
-            units = t.replace(" ", "\x00 ").split("\x00") if "\x00" not in t else [t]
-            cut.append(units)
-            new.update(u for u in units if u not in known)
-        fresh = list(new)
-        extra = dict(zip(fresh, self._encode(fresh), strict=True)) if fresh else {}
-        out = []
-        for t, units in zip(texts, cut, strict=True):
-            if units is None:
+            if "  " in t or t.endswith(" ") or "\x00" in t:
                 out.append(self._encode([t])[0])
+                continue
+            units = t.replace(" ", "\x00 ").split("\x00")
+            parts = list(map(known.__getitem__, units))
+            if None in parts:
+                cut.append((len(out), units, parts))
+                out.append(b"")
             else:
-                out.append(b"".join([known[u] if u in known else extra[u] for u in units]))
-        known.update((u, b) for u, b in extra.items() if len(u) <= LONGEST)
+                out.append(b"".join(parts))
+        extra = self._units(known.new)
+        for at, units, parts in cut:
+            out[at] = b"".join([extra[u] if p is None else p for u, p in zip(units, parts, strict=True)])
+        known.new = set()
+        if len(known) < CACHE:  # the commonest units come early and stay
+            known.update((u, b) for u, b in extra.items() if len(u) <= LONGEST)
         return out
 
 
+_encoders: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(path: str, dtype: str = "<u4") -> Encoder:
+    """This worker's encoder, kept from task to task."""
+    if (path, dtype) not in _encoders:
+        _encoders[path, dtype] = Encoder(path, dtype)
+    return _encoders[path, dtype]
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -114,7 +143,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     vocab = vocab or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(vocab, "<u2"), np.array([EOD], "<u2").tobytes()
+        encode, end = encoder(vocab, "<u2"), np.array([EOD], "<u2").tobytes()
         store, root = _filesystem(folder)
         store.create_dir(root, recursive=True)
         n = TaskContext.get().partitionId()
