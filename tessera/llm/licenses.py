@@ -10,6 +10,8 @@ too long or too short for every template, are never cut into bigrams.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,26 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
 
 
+def telling_words(sets: dict[str, list[str]], threshold: float) -> list[str]:
+    """Words of which any matching passage has one.
+
+    Coefficient ``t`` takes at least b*t/(2-t) of a template's bigrams. Words
+    are gathered, the longest first, until the bigrams that hold one are more
+    than a passage may lack; the rest of the template needn't be looked for.
+    """
+    out: set[str] = set()
+    for grams in sets.values():
+        lack = len(grams) - math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)
+        pairs = [set(g.split(" ")) for g in grams]
+        covered = sum(1 for p in pairs if p & out)
+        for w in sorted({w for p in pairs for w in p} - out, key=lambda w: (len(w), w), reverse=True):
+            if covered > lack:
+                break
+            out.add(w)
+            covered = sum(1 for p in pairs if p & out)
+    return sorted(out)
+
+
 def _normal(text: Column) -> Column:
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.trim(F.regexp_replace(lower, "[^a-z0-9]+", " "))
@@ -87,9 +109,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     sets = {k: b for k, v in (templates or TEMPLATES).items() if (b := bigrams_of(v))}
     low = min((len(b) for b in sets.values()), default=1) * threshold / (2 - threshold)
     high = max((len(b) for b in sets.values()), default=0) * (2 - threshold) / threshold
-    # a passage of c characters has at least (c+1)/2 ... 2 characters a bigram is the least,
-    # so only the lower bound prunes by characters; the upper needs the distinct bigrams
-    units = passages(base).where(F.length("passage") >= low)
+    # texts without any telling word hold no match; the others are cut up
+    telling = "(?<![A-Za-z0-9])(?i:" + "|".join(telling_words(sets, threshold)) + ")(?![A-Za-z0-9])" if sets else "(?!)"
+    base = base.where(F.col("text").rlike(telling))
+    units = passages(base).where((F.length("passage") >= low) & F.col("passage").rlike(telling))
     units = units.withColumn("norm", _normal(F.col("passage"))).drop("passage")
     units = units.withColumn("n_words", F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).where(F.col("n_words") > low)
     w = F.split("norm", " ")
