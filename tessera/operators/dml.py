@@ -25,6 +25,7 @@ def declared(kind: str) -> str:
 
 def create(session, s: n.CreateTable, text: str) -> DataFrame:
     names = [c.name for c in s.columns]
+    session.opened(s.name)
     if s.name in session.tables:
         raise SyntaxFault(f"table {s.name} exists")
     if len(set(names)) < len(names) or sum(c.ipk for c in s.columns) > 1:
