@@ -75,6 +75,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ambiguous(docs: DataFrame, id_col: str) -> bool:
+    """Whether an id is missing or occurs twice, so that it doesn't name a row.
+    Ids alone are read, and counted on the map side first."""
+    ids = docs.groupBy(F.col(id_col).alias("_id")).count()
+    return not ids.where("count > 1 OR _id IS NULL").isEmpty()
+
+
 def squeezed(text: Column) -> Column:
     """Null as empty, every run of separators as one space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed_names, dropped, sha256, shuffle_partitions, squeezed, staged
+from .common import ambiguous, bucketed_names, dropped, sha256, shuffle_partitions, squeezed, staged
 
 #: Characters in a block.
 BLOCK = 2048
@@ -94,6 +94,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without the later copies of a text.
-    A row with a null id stays. Empty tables stay empty."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+
+    Where ids are missing or repeated, a row is named by its id and text: rows
+    of one id with different texts are judged each, null ids sort last, and of
+    rows that repeat both id and text one stays. Empty tables stay empty.
+    """
+    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha"))
+    if not ambiguous(docs, id_col):
+        return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    rows = docs.withColumn("_sha", sha256(squeezed(F.col(text_col))))
+    left = rows.join(gone, rows[id_col].eqNullSafe(gone["_gone"]) & (rows["_sha"] == gone["_gone_sha"]), "left_anti")
+    return left.dropDuplicates([id_col, "_sha"]).drop("_sha")

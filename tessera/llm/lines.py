@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, sha256, staged
+from .common import ambiguous, dropped, sha256, staged
 
 MIN_LINES = 2
 
@@ -77,11 +77,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     non-blank lines whose sequence also starts at an earlier place (smaller id,
     or earlier in the same document). Lines are compared without white space at
     their ends; blank lines count for nothing and always stay. Null text is
-    empty and has no lines; rows with a null id pass through unjudged; repeated
-    rows of one id are judged as one. Other columns are ignored.
+    empty and has no lines. Where ids are missing or repeated, a document is an
+    id and a text: rows that repeat both are judged as one, rows of one id with
+    different texts are judged each, null ids sort last. Other columns are
+    ignored.
     """
     base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    places = line_rows(base.where("doc IS NOT NULL").dropDuplicates(["doc"]) if _repeats(base) else base.where("doc IS NOT NULL"))
+    unclear = ambiguous(base, "doc")
+    if unclear:
+        base = base.select(F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("id"), F.xxhash64("text").alias("hash")).alias("doc"), "text")
+    places = line_rows(base.dropDuplicates(["doc"]) if unclear else base)
     hits = suffix_ranks(places, min_lines)
     later = hits.where(F.struct("doc", "seq") > F.col("first"))
     marks = later.select("doc", F.explode(F.sequence("seq", F.col("seq") + (min_lines - 1))).alias("mseq")).distinct()
@@ -102,15 +107,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = base.join(runs, base["doc"] == runs["rdoc"], "left")
     n = F.when(F.coalesce("text", F.lit("")) == "", F.lit(0)).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
     return joined.select(
-        F.col("doc").alias("doc_id"), n.cast("long").alias("n_lines"), F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"),
+        F.col("doc.id" if unclear else "doc").alias("doc_id"), n.cast("long").alias("n_lines"), F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"),
         F.when(F.col("runs").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias("kept_text"),
     )
 
 
-def _repeats(base: DataFrame) -> bool:
-    """Whether an id occurs twice; ids only are read and counted."""
-    return not base.where("doc IS NOT NULL").groupBy("doc").count().where("count > 1").isEmpty()
-
-
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_lines", "n_removed", sha256(F.col("kept_text")).alias("kept_sha256"))

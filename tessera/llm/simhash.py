@@ -25,13 +25,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import dropped, staged
+from .common import ambiguous, dropped, shuffle_partitions, staged
 
 SHINGLE = 3
 RADIUS = 2
 SEED = 42
 CELL = 4096
+#: Placements (33 at most for a fingerprint) in one partition of the range join.
+PLACED = 1 << 20
 SEGMENTS = 16
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _FLIPS = np.array([1 << i for i in range(64)] + [(1 << i) | (1 << j) for i, j in combinations(range(64), 2)], np.uint64)
@@ -175,9 +178,10 @@ def links(fps: DataFrame, limit: int = CELL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     placed = fps.select("fp").mapInArrow(place, "cell long, fp long, role byte")
-    # partitions of a bounded number of cells; members of one cell are distinct
-    # fingerprints with (nearly) the same sixteen counts
-    return placed.repartition("cell").mapInArrow(meet, "a long, b long")
+    # the partitions grow in number with the fingerprints, so that none grows in
+    # size; members of one cell are distinct and have nearly the same counts
+    parts = max(shuffle_partitions(fps.sparkSession), -(-fps.count() * (2 * SEGMENTS + 1) // PLACED))
+    return placed.repartition(parts, "cell").mapInArrow(meet, "a long, b long")
 
 
 def components(edges: DataFrame, name: str = "op6") -> DataFrame:
@@ -208,6 +212,15 @@ def components(edges: DataFrame, name: str = "op6") -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _named(rows: DataFrame, limit: int = CELL) -> DataFrame:
+    """``f, root, component_id`` for each distinct ``fp`` of ``rows`` (doc_id, fp)."""
+    best = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "op6-distinct")
+    tree = components(links(best, limit))
+    reached = best.join(tree, best["fp"] == tree["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    whole = reached.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
+    return staged(reached.join(whole, reached["root"] == whole["r"]).select(F.col("fp").alias("f"), "root", "component_id"), "op6-components")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = CELL) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, fingerprint, component_id``.
 
@@ -217,17 +230,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     any other. Repeated rows give repeated rows. Other columns are ignored.
     """
     rows = staged(fingerprints(docs, id_col, text_col), "op6-fingerprints")
-    best = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "op6-distinct")
-    tree = components(links(best, limit))
-    reached = best.join(tree, best["fp"] == tree["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    whole = reached.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
-    names = reached.join(whole, reached["root"] == whole["r"]).select(F.col("fp").alias("f"), "component_id")
-    names = staged(names, "op6-components")
+    names = _named(rows, limit)
     return rows.join(names, rows["fp"] == names["f"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that are the smallest id of their
-    group; rows with a null id stay."""
+    group. Where ids are missing or repeated, one of the group's rows with that
+    id stays (with a null id, if the group has no other)."""
+    if ambiguous(docs, id_col):
+        place = docs.columns.index(text_col)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                fp = np.array([fingerprint(t.as_py()) for t in b.column(place)], np.uint64)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*b.schema.names, "_fp"])
+
+        rows = staged(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])), "op6-rows")
+        names = _named(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_fp").alias("fp")))
+        names = names.select("f", F.col("root").alias("_root"), F.col("component_id").alias("_least"))
+        firsts = rows.join(names, (rows["_fp"] == names["f"]) & rows[id_col].cast("long").eqNullSafe(names["_least"]))
+        return firsts.dropDuplicates(["_root"]).select(*docs.columns)
     gone = near_groups(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

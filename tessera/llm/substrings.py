@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_count, shuffle_partitions
+from .common import ambiguous, chunk_count, shuffle_partitions, staged
 from .wordhash import U, hashed_texts, window_hashes
 
 WINDOW = 35
@@ -139,7 +139,11 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     width = 5 if chunks < 4096 else 7
     mask = U((1 << (8 * width)) - 1)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("long"))
+    salt = ["doc_id", F.length("text")]
+    if ambiguous(base, "doc_id"):  # rows that an id doesn't tell apart are numbered once, and dealt by that
+        base = staged(base.withColumn("salt", F.monotonically_increasing_id()), "op3-rows")
+        salt.append("salt")
+    base = base.select("doc_id", "text", F.pmod(F.xxhash64(*salt), F.lit(chunks)).cast("long").alias("chunk"))
 
     def probes(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         keys, aligned = _anchor_keys(hashed_texts(_texts(pdf)), block)

@@ -362,3 +362,26 @@ def test_urls(spark):
     assert by[10].verdict == "block" and by[11].verdict == "allow" and by[10].template == "/spam/*"
     assert urls.judged(p.limit(0), lab).count() == 0
     assert {r.verdict for r in urls.judged(p.where("page_id > 8"), lab.limit(0)).collect()} == {"allow", "block"}
+
+
+def test_unclear_ids(spark):
+    """Ids that are missing, or that several texts share, lose no text."""
+    a, b, c = (" ".join(f"{p}{i}" for i in range(30)) for p in "abc")
+    rows = [(1, a), (1, b), (2, a), (2, c), (2, c), (None, b), (None, "x y z"), (None, "x y z"), (3, None), (3, "")]
+    kept = exact_dedup.without_copies(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    count = collections.Counter((r.doc_id, r.text or "") for r in kept.collect())
+    assert count == {(1, a): 1, (1, b): 1, (2, c): 1, (None, "x y z"): 1, (3, ""): 1}
+    near = simhash.one_of_each(frame(spark, rows))
+    assert near.columns == frame(spark, rows).columns
+    assert collections.Counter((r.doc_id, r.text or "") for r in near.collect()) == count
+
+    texts = [(5, "p\nq\nr"), (5, "s\np\nq\nt"), (5, "s\np\nq\nt"), (None, "p\nq\nu"), (6, "q\nr"), (None, None), (7, "u")]
+    got = collections.Counter((r.doc_id, r.kept_text) for r in lines.line_dedup(frame(spark, texts)).collect())
+    # which text of id 5 comes first is settled by their hashes
+    assert sum(got.values()) == len(texts) and got[None, "u"] == 1 and got[None, ""] == 1 and got[7, "u"] == 1
+    assert got[5, "p\nq\nr"] + got[5, "r"] + got[5, ""] == 1 and got[5, "s\np\nq\nt"] + got[5, "s\nt"] == 2
+
+    same = [(None, " ".join(f"w{i}" for i in range(40)))] * 3 + [(None, None)] * 4 + [(9, "a b")]
+    got = sorted(tuple(r)[:3] for r in substrings.repeats_removed(frame(spark, same)).fillna({"doc_id": -1}).collect())
+    assert got == [(-1, 0, 0)] * 4 + [(-1, 40, 40)] * 3 + [(9, 2, 0)]
