@@ -28,8 +28,11 @@ from .common import new_path, staged
 BLOCK = 1 << 20
 GROUP = 1024
 #: Different units whose ids a worker remembers; longer ones aren't kept.
-CACHE = 1_000_000
+CACHE = 400_000
 LONGEST = 64
+#: Places of the table that notes a unit's first batch. Most units of a corpus
+#: come once, so a unit is remembered when it comes in a second batch.
+SEEN = 1 << 22
 EOD = 50256
 
 
@@ -58,7 +61,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.dtype, self.known = dtype, _Known()
+        self.dtype, self.known, self.seen = dtype, _Known(), bytearray(SEEN)
 
     def _encode(self, units: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
@@ -93,7 +96,11 @@ class Encoder:
             out[at] = b"".join([extra[u] if p is None else p for u, p in zip(units, parts, strict=True)])
         known.new = set()
         if len(known) < CACHE:  # the commonest units come early and stay
-            known.update((u, b) for u, b in extra.items() if len(u) <= LONGEST)
+            for u, b in extra.items():
+                at = hash(u) % SEEN
+                if self.seen[at] and len(u) <= LONGEST:
+                    known[u] = b
+                self.seen[at] = 1
         return out
 
 
