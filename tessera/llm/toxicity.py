@@ -119,9 +119,12 @@ def chosen_terms(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, most: int =
     """The terms whose presence tells the labels apart most (G statistic of
     the two-by-two table, smoothed), among those in three documents or more."""
     n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
-    c1 = np.bincount(terms, y[rows], 1 << BITS)
-    c0 = np.bincount(terms, 1 - y[rows], 1 << BITS)
-    both = c1 + c0
+    toxic, c1, both = y > 0, np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for at in range(0, len(terms), PIECE):  # in pieces: the sample's terms are many times its documents
+        part = terms[at : at + PIECE]
+        both += np.bincount(part, minlength=1 << BITS)
+        c1 += np.bincount(part[toxic[rows[at : at + PIECE]]], minlength=1 << BITS)
+    c0 = both - c1
     with np.errstate(divide="ignore", invalid="ignore"):
         g = sum(np.where(c > 0, c * np.log(c / np.maximum(1e-9, both * n / (n1 + n0))), 0) for c, n in ((c1, n1), (c0, n0)))
         rest1, rest0 = n1 - c1, n0 - c0
@@ -203,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     y = np.array([picked[d] > 0 for d in got.column("doc").to_pylist()], np.float64)
     terms = got.column("terms").combine_chunks()
     sizes = np.diff(terms.offsets.to_numpy()) if len(terms) else np.empty(0, np.int64)
-    return fitted(np.repeat(np.arange(len(y)), sizes), terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64), y)
+    return fitted(np.repeat(np.arange(len(y), dtype=np.int32), sizes), terms.flatten().to_numpy(zero_copy_only=False), y)
 
 
 def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
