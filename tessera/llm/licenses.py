@@ -149,7 +149,7 @@ u AS (
   UNION ALL SELECT doc_id, 'text', 0, t FROM p WHERE len(ps) > 1
 ),
 w AS (SELECT doc_id, unit, unit_no, string_split({norm}, ' ') AS w FROM u),
-g AS (SELECT doc_id, unit, unit_no, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM w WHERE len(w) >= 2 AND len(w) <= 100000),
+g AS (SELECT doc_id, unit, unit_no, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM w WHERE len(w) >= 2),
 s AS (SELECT doc_id, unit, unit_no, license_id, len(list_intersect(g, b)) * 2.0::DOUBLE / (len(g) + len(b)) AS score FROM g, lic
       WHERE len(g) BETWEEN len(b) * {threshold} / (2 - {threshold}) - 0.001 AND len(b) * (2 - {threshold}) / {threshold} + 0.001)
 SELECT doc_id, unit, CAST(unit_no AS BIGINT) AS unit_no, license_id, round(score::DOUBLE, 6) AS score FROM s WHERE score >= {threshold} - 1e-12
