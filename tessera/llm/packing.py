@@ -24,6 +24,8 @@ from .tokens import batched, encoder, vocabulary
 
 CAPACITY = 2048
 END = 0
+#: Pieces of one length that a slice holds at most, on average.
+SLICE = 1 << 18
 
 
 class Capacities:
@@ -145,7 +147,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     spark = docs.sparkSession
     parts = staged(pieces(docs, id_col, text_col, capacity, vocab, with_ids).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "op4-pieces")
     # rank among equal lengths: inside a slice of rows, plus what earlier slices hold
-    slices = 16 * shuffle_partitions(spark)
+    slices = max(16 * shuffle_partitions(spark), -(-parts.count() // SLICE))
     part = F.pmod(F.xxhash64("_row"), F.lit(slices))
     cells = parts.select("_row", "length", part.alias("_slice"))
     counts = staged(cells.groupBy("length", "_slice").agg(F.count("*").alias("n")), "op4-counts")
@@ -174,6 +176,3 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     return out.select(
         "doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []),
         (F.col("_slot")["base"] + F.col("_rank") - F.col("_slot")["first"]).alias("sequence_id"), F.col("_slot")["offset"].alias("offset"))
-
-
-
