@@ -34,6 +34,8 @@ LONGEST = 64
 #: come once, so a unit is remembered when it comes in a second batch.
 SEEN = 1 << 22
 EOD = 50256
+#: Units that are encoded as one string.
+JOINED = 512
 
 
 class _Known(dict):
@@ -49,10 +51,12 @@ class _Known(dict):
 class Encoder:
     """Ids of a public byte-level BPE vocabulary, by the ``tokenizers`` library.
 
-    Text is encoded in units that end before a single space: this pre-tokenizer
-    always joins such a space to what follows, so units don't touch and their
-    ids can be remembered. Texts with doubled or closing spaces are encoded
-    whole.
+    Text is encoded in units, what lies between single spaces: this
+    pre-tokenizer always joins such a space to what follows, so units don't
+    touch and their ids, with those of the space before, can be remembered. A
+    text's first unit has no space before it and is told apart by a NUL. Texts
+    with a NUL, or a space before other white space or at their end, are
+    encoded whole.
     """
 
     def __init__(self, path: str, dtype: str = "<u4"):
@@ -62,29 +66,54 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.dtype, self.known, self.seen = dtype, _Known(), bytearray(SEEN)
+        vocab = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids whose first byte is a space
+        self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
 
     def _encode(self, units: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in got]
 
+    def _joined(self, units: list[str]) -> list[bytes]:
+        """The ids of units that open and close with a word. Many are encoded
+        as one string, where an id that opens with a space opens a unit."""
+        rows = [" " + " ".join(units[at : at + JOINED]) for at in range(0, len(units), JOINED)]
+        out = []
+        for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False):
+            ids = np.array(e.ids, self.dtype)
+            cuts = (np.flatnonzero(self.opens[ids]) * ids.itemsize).tolist()
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
+        return out
+
     def _units(self, units: set[str]) -> dict[str, bytes]:
-        """The ids of units. A single mark after a letter is always a token
-        run of its own, so a word is encoded once with and without it."""
-        ends = {u: (u[:-1], u[-1]) for u in units if len(u) > 2 and u[-1] in ".," and u[-2].isalpha()}
-        fresh = list({u for u in units if u not in ends} | {w for w, _ in ends.values() if w not in self.known} | set(".,"))
-        got = dict(zip(fresh, self._encode(fresh), strict=True)) if units else {}
+        """The ids of units but those that open with white space. A single mark
+        after a letter is always a token run of its own, so a word is encoded
+        once with and without it."""
+        if not units:
+            return {}
+        ends = {u: (u[:-1], u[-1]) for u in units if len(u) > 1 and u[-1] in ".," and u[-2].isalpha() and not u[0].isspace()}
+        plain, other = [], ["\0.", "\0,"]
+        for u in {u for u in units if u not in ends} | {w for w, _ in ends.values() if w not in self.known}:
+            if u[0] == "\0" or u[-1].isspace() and not u[0].isspace():
+                other.append(u)
+            elif not u[0].isspace():
+                plain.append(u)
+        got = dict(zip(plain, self._joined(plain), strict=True))
+        got.update(zip(other, self._encode([u[1:] if u[0] == "\0" else " " + u for u in other]), strict=True))
         for u, (w, mark) in ends.items():
-            got[u] = (self.known[w] if w in self.known else got[w]) + got[mark]
+            got[u] = (self.known[w] if w in self.known else got[w]) + got["\0" + mark]
         return got
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
         known, out, cut = self.known, [], []
         for t in texts:
-            if "  " in t or t.endswith(" ") or "\x00" in t:
+            if "  " in t or "\0" in t or t.endswith(" "):
                 out.append(self._encode([t])[0])
                 continue
-            units = t.replace(" ", "\x00 ").split("\x00")
+            units = t.split(" ")
+            units[0] = "\0" + units[0]
             parts = list(map(known.__getitem__, units))
             if None in parts:
                 cut.append((len(out), units, parts))
@@ -93,7 +122,15 @@ class Encoder:
                 out.append(b"".join(parts))
         extra = self._units(known.new)
         for at, units, parts in cut:
-            out[at] = b"".join([extra[u] if p is None else p for u, p in zip(units, parts, strict=True)])
+            i = -1
+            for _ in range(parts.count(None)):
+                i = parts.index(None, i + 1)
+                if units[i] not in extra:
+                    out[at] = self._encode([texts[at]])[0]
+                    break
+                parts[i] = extra[units[i]]
+            else:
+                out[at] = b"".join(parts)
         known.new = set()
         if len(known) < CACHE:  # the commonest units come early and stay
             for u, b in extra.items():
