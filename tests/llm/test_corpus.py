@@ -385,3 +385,18 @@ def test_unclear_ids(spark):
     same = [(None, " ".join(f"w{i}" for i in range(40)))] * 3 + [(None, None)] * 4 + [(9, "a b")]
     got = sorted(tuple(r)[:3] for r in substrings.repeats_removed(frame(spark, same)).fillna({"doc_id": -1}).collect())
     assert got == [(-1, 0, 0)] * 4 + [(-1, 40, 40)] * 3 + [(9, 2, 0)]
+
+
+def test_encoder_gives_the_ids_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.vocabulary())
+    plain.encode_special_tokens = True
+    draw = random.Random(5)
+    marks = [*"   aabB.,'s1é\n\t 　\x1c\x85Ġ!-\x00", " word", " the", "'s", "<|endoftext|>", "\r\n", " \n", "日本"]
+    texts = ["", " ", ".", ",", "a.", "\n a", "a \nb"] + ["".join(draw.choices(marks, k=draw.randint(0, 40))) for _ in range(600)]
+    texts += [" ".join("".join(draw.choices("abcdeé.,'1-\n", k=draw.randint(1, 6))) for _ in range(60)) for _ in range(200)]
+    encode = tokens.Encoder(tokens.vocabulary())
+    for part in (texts[:400], texts[400:], texts):  # units are new, then noted, then remembered
+        want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(part, add_special_tokens=False)]
+        assert encode(part) == want
