@@ -152,3 +152,21 @@ def test_plans(spark):
     assert "HashJoin" in plan("SELECT n_name FROM nation, region WHERE n_regionkey = r_regionkey")
     assert "LeftSemi" in plan(catalogue.QUERIES["semi_exists"][0]) and "TakeOrderedAndProject" in plan(catalogue.QUERIES["topk"][0])
     assert "partial_sum" in plan(catalogue.FLAGSHIP)
+
+
+def test_timediff_of_all_orders(spark):
+    from datetime import datetime, timedelta
+
+    from tessera import catalogue
+
+    folder, start = "/root/testdata/sf0.001", datetime(1990, 1, 1)
+    want = {}
+    for r in spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_orderdate").collect():
+        d = datetime.combine(r.o_orderdate, datetime.min.time()) if not isinstance(r.o_orderdate, datetime) else r.o_orderdate
+        months = (d.year - 1990) * 12 + d.month - 1
+        left = d - datetime(d.year, d.month, 1)
+        assert d >= start
+        h, ms = divmod((left - timedelta(days=left.days)) // timedelta(milliseconds=1), 3600000)
+        want[r.o_orderkey] = f"+{months // 12:04d}-{months % 12:02d}-{left.days:02d} {h:02d}:{ms // 60000:02d}:{ms // 1000 % 60:02d}.{ms % 1000:03d}"
+    got = catalogue.queries()["fn_timediff"](spark, folder).collect()
+    assert len(got) == len(want) > 500 and {r.o_orderkey: r.d for r in got} == want
