@@ -1,11 +1,12 @@
 """URL filter: a path-template tree per host (DataFrame operations only).
 
 The paths of a host form a tree of segments. Going down from the host, at each
-node (1) variable segments (numbers, hexadecimal keys, long mixed names) and
-the children of a node with very many of them become the wildcard ``*``;
-(2) branches whose share of good labels differs from that of all their
-siblings by no more than ``z`` standard errors are merged into ``*`` as well,
-while a branch that differs stays by itself. Each leaf is a template, with a
+node (1) variable segments (numbers, hexadecimal keys, long mixed names)
+become the wildcard ``*``; (2) branches whose share of good labels differs from
+that of all their siblings by no more than ``z`` standard errors are merged into
+``*`` as well, while a branch that differs stays by itself, at any depth and
+among any number of siblings. Among very many, one label more or less must not
+decide: the difference has to exceed that of a label as well. Each leaf is a template, with a
 purity (good + alpha * prior) / (labels + alpha); templates under the threshold
 are rejected, and with them the pages, labelled or not, that have them.
 Host rules come first: the longest that fits decides.
@@ -21,11 +22,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, staged
 
 # Fixed values: (host, path prefix, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-DEPTH = 6
+DEPTH = 6  # of the SQL, which is written out level by level; the query has no limit
 CHILDREN = 64
 Z = 2.0
 ALPHA = 10.0
@@ -63,38 +64,42 @@ def rule_of(rules=RULES) -> tuple[Column, Column]:
     return pick(lambda r: r[0] + r[1]), pick(lambda r: r[2])
 
 
-def shape_of(path: Column, depth: int = DEPTH) -> Column:
-    """The path's segments with variable ones as ``*``; what lies deeper than
-    ``depth`` is one last segment ``**``."""
+def shape_of(path: Column) -> Column:
+    """The path's segments with variable ones as ``*``."""
     seg = F.filter(F.split(path, "/"), lambda s: s != "")
-    seg = F.transform(seg, lambda s: F.when(s.rlike(NUMBER) | s.rlike(KEY) | (F.length(s) > 40), F.lit("*")).otherwise(s))
-    return F.when(F.size(seg) > depth, F.concat(F.slice(seg, 1, depth), F.array(F.lit("**")))).otherwise(seg)
+    return F.transform(seg, lambda s: F.when(s.rlike(NUMBER) | s.rlike(KEY) | (F.length(s) > 40), F.lit("*")).otherwise(s))
 
 
-def templates(labelled: DataFrame, depth: int = DEPTH) -> DataFrame:
+def templates(labelled: DataFrame) -> DataFrame:
     """``host, shape, template, n, labels, good`` for each distinct (host, shape)
-    of ``labelled`` (host, path, good: 1, 0 or null)."""
-    shapes = labelled.select("host", shape_of(F.col("path"), depth).alias("shape"), "good").groupBy("host", "shape").agg(
+    of ``labelled`` (host, path, good: 1, 0 or null). A shape alone at its node
+    is settled; the rounds are as many as the segments that shapes share."""
+    shapes = labelled.select("host", shape_of(F.col("path")).alias("shape"), "good").groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.count("good").alias("labels"), F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("good")
     )
-    level = staged(shapes.withColumn("template", F.lit("")), "op9-shapes")
-    deepest = level.agg(F.max(F.size("shape"))).first()[0] or 0
-    for d in range(deepest):
-        seg = F.get("shape", F.lit(d))
+    level = staged(shapes.withColumn("template", F.lit("")).withColumn("open", F.size("shape") > 0), "op9-shapes")
+    d = 0
+    while not level.where("open").isEmpty():
+        seg = F.when(F.col("open"), F.get("shape", F.lit(d)))
         here = level.withColumn("seg", seg)
-        child = here.where("seg IS NOT NULL").groupBy("host", "template", "seg").agg(F.sum("labels").alias("cl"), F.sum("good").alias("cg"))
+        child = here.where("seg IS NOT NULL").groupBy("host", "template", "seg").agg(F.sum("labels").alias("cl"), F.sum("good").alias("cg"), F.count("*").alias("cs"))
         node = child.groupBy(F.col("host").alias("h"), F.col("template").alias("t")).agg(
-            F.count("*").alias("kids"), F.sum("cl").alias("nl"), F.sum("cg").alias("ng"))
+            F.count("*").alias("kids"), F.sum("cl").alias("nl"), F.sum("cg").alias("ng"), F.sum("cs").alias("shapes"))
         p = (F.col("ng") + 1.0) / (F.col("nl") + 2.0)
         error = F.sqrt(p * (1 - p) / F.greatest(F.col("cl"), F.lit(1)))
-        similar = (F.col("cl") == 0) | (F.abs(F.col("cg") / F.greatest(F.col("cl"), F.lit(1)) - p) <= Z * error)
-        merged = F.when((F.col("kids") > 1) & ((F.col("kids") > CHILDREN) | similar), F.lit("*")).otherwise(F.col("seg"))
+        one = F.when(F.col("kids") > CHILDREN, 1.0 / F.greatest(F.col("cl"), F.lit(1))).otherwise(0.0)
+        similar = (F.col("cl") == 0) | (F.abs(F.col("cg") / F.greatest(F.col("cl"), F.lit(1)) - p) - one <= Z * error)
+        merged = F.when((F.col("kids") > 1) & similar, F.lit("*")).otherwise(F.col("seg"))
         step = child.join(node, (child["host"] == node["h"]) & (child["template"] == node["t"])).select(
-            F.col("host").alias("h"), F.col("template").alias("t"), F.col("seg").alias("s"), F.concat("template", F.lit("/"), merged).alias("grown"))
-        level = staged(
+            F.col("host").alias("h"), F.col("template").alias("t"), F.col("seg").alias("s"), F.concat("template", F.lit("/"), merged).alias("grown"), (F.col("shapes") == 1).alias("alone"))
+        rest = F.concat("template", F.lit("/"), F.array_join(F.slice("shape", d + 1, F.greatest(F.size("shape"), F.lit(1))), "/"))
+        after = staged(
             here.join(step, (here["host"] == step["h"]) & (here["template"] == step["t"]) & (here["seg"] == step["s"]), "left").select(
-                "host", "shape", "n", "labels", "good", F.coalesce("grown", "template").alias("template")), "op9-level")
-    return level
+                "host", "shape", "n", "labels", "good", F.when(F.col("alone"), rest).otherwise(F.coalesce("grown", "template")).alias("template"),
+                (F.col("open") & ~F.coalesce("alone", F.lit(False)) & (F.size("shape") > d + 1)).alias("open")), "op9-level")
+        dropped(level)
+        level, d = after, d + 1
+    return level.drop("open")
 
 
 def judged(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
