@@ -6,13 +6,20 @@ several paragraphs is a passage. A passage with ``a`` distinct bigrams can reach
 coefficient ``t`` with a template of ``b`` only if a*t/(2-t) <= b <= a*(2-t)/t,
 so templates outside that size range aren't compared and most passages, being
 too long or too short for every template, are never cut into bigrams.
+
+A licence of several paragraphs, or of some lines of one, is a run of lines.
+Runs grow from each line with a template's bigram until they have too many
+bigrams for any template; those that a shorter or longer run of the same first
+or last line betters are left out.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
@@ -96,9 +103,59 @@ def passages(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.unit", "u.unit_no", "u.passage")
 
 
+def _grams(w: Column) -> Column:
+    return F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+
+
+def runs(docs: DataFrame, sets: dict[str, list[str]], telling: list[str], high: float) -> DataFrame:
+    """``row, doc_id, i, j, no, given, grams``: the runs of lines with words that
+    may match, from the i-th to the j-th of a document; no: the first one's
+    number among all lines; given: whether the run is a whole paragraph or text.
+    A run that opens or closes with a line without a template's bigram is no
+    better than the run without that line, and isn't made."""
+    t, known = F.col("text"), sorted({g for b in sets.values() for g in b})
+    raw = F.filter(F.transform(F.split(t, "\n"), lambda x, i: F.struct(i.alias("no"), x.alias("x"))), lambda r: r["x"] != "")
+    par = F.flatten(F.transform(F.split(t, "\n\n+"), lambda p, k: F.transform(F.filter(F.split(p, "\n"), lambda x: x != ""), lambda x: k)))
+    lines = F.filter(F.zip_with(raw, par, lambda r, p: F.struct(r["no"].alias("no"), p.alias("par"), F.split(_normal(r["x"]), " ").alias("w"))), lambda x: x["w"][0] != "")
+    d = docs.where(F.contains("text", F.lit("\n"))).select(F.monotonically_increasing_id().alias("row"), "doc_id", lines.alias("lines"))
+    d = d.withColumn("n", F.size("lines")).where("n > 1")
+    before = lambda k: F.when(k > 0, F.array(F.element_at(F.get(F.col("lines"), k - 1)["w"], -1))).otherwise(F.array().cast("array<string>"))
+    d = d.withColumn("g", F.transform("lines", lambda x, k: _grams(F.concat(before(k), x["w"]))))
+    d = d.withColumn("hit", F.transform("g", lambda a: F.exists(a, lambda x: x.isin(known))))
+    d = d.withColumn("tell", F.transform("lines", lambda x: F.exists(x["w"], lambda w: w.isin(telling))))
+    every = F.sequence(F.lit(0), F.col("n") - 1)
+    d = d.withColumn("i", F.explode(F.filter(every, lambda k: F.get("hit", k) | F.coalesce(F.get("hit", k + 1), F.lit(False)))))
+    own = _grams(F.get("lines", F.col("i"))["w"])
+    # the run has grown enough when it has more bigrams than any match
+    last = F.aggregate(
+        F.slice("g", F.col("i") + 2, F.col("n")), F.struct(own.alias("seen"), F.col("i").alias("last")),
+        lambda s, x: F.when(F.size(s["seen"]) > high, s).otherwise(F.struct(F.array_union(s["seen"], x).alias("seen"), (s["last"] + 1).alias("last"))), lambda s: s["last"])
+    told = lambda j: F.exists(F.slice("tell", F.col("i") + 1, j - F.col("i") + 1), lambda x: x)
+    d = d.withColumn("last", last).where(told(F.col("last")))
+    d = d.withColumn("j", F.explode(F.filter(F.sequence("i", "last"), lambda k: F.get("hit", k)))).where(told(F.col("j")))
+    at = lambda k: F.get("lines", k)["par"]
+    i, j = F.col("i"), F.col("j")
+    paragraph = (at(i) == at(j)) & ((i == 0) | (at(i - 1) != at(i))) & ((j == F.col("n") - 1) | (at(j + 1) != at(j)))
+    return d.select(
+        "row", "doc_id", "i", "j", F.get("lines", i)["no"].alias("no"), (((i == 0) & (j == F.col("n") - 1)) | F.coalesce(paragraph, F.lit(False))).alias("given"),
+        _grams(F.flatten(F.transform(F.slice("lines", i + 1, j - i + 1), lambda x: x["w"]))).alias("grams"))
+
+
+def best_runs(hits: DataFrame) -> DataFrame:
+    """The hits of runs of several lines that neither a run shorter by the next
+    step at one end equals nor one longer by it exceeds."""
+    out = hits
+    for end, order in (("i", F.col("j")), ("j", F.col("i").desc())):
+        w = Window.partitionBy("row", "h.license_id", end).orderBy(order)
+        out = out.withColumn(f"less_{end}", F.lag("h.score").over(w)).withColumn(f"more_{end}", F.lead("h.score").over(w))
+    beaten = reduce(or_, [F.coalesce(F.col(f"less_{e}") >= F.col("h.score"), F.lit(False)) | F.coalesce(F.col(f"more_{e}") > F.col("h.score"), F.lit(False)) for e in "ij"])
+    return out.where(~beaten & (F.col("i") < F.col("j")) & ~F.col("given"))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> DataFrame:
     """``doc_id, unit, unit_no, license_id, score``: every passage whose Dice
-    coefficient with a template is at least ``threshold``.
+    coefficient with a template is at least ``threshold``; and, as unit ``run``
+    with the number of its first line, the best runs of lines that are neither.
 
     All such templates are given (ties included). Null or empty texts, and
     passages or templates of fewer than two words, match nothing. Repeated rows
@@ -112,11 +169,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     # texts without any telling word hold no match; the others are cut up
     telling = "(?<![A-Za-z0-9])(?i:" + "|".join(telling_words(sets, threshold)) + ")(?![A-Za-z0-9])" if sets else "(?!)"
     base = base.where(F.col("text").rlike(telling))
+    whole = base
     units = passages(base).where((F.length("passage") >= low) & F.col("passage").rlike(telling))
     units = units.withColumn("norm", _normal(F.col("passage"))).drop("passage")
     units = units.withColumn("n_words", F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).where(F.col("n_words") > low)
-    w = F.split("norm", " ")
-    grams = F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    grams = _grams(F.split("norm", " "))
     # a word can repeat, so many words don't bound distinct bigrams from above
     units = units.where(F.col("n_words") >= 2).withColumn("grams", grams).withColumn("a", F.size("grams")).where((F.col("a") >= low) & (F.col("a") <= high)).drop("norm")
 
@@ -127,11 +184,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
     if not sets:
         return units.select("doc_id", "unit", "unit_no", F.lit("").alias("license_id"), F.lit(0.0).alias("score")).where("false")
-    units = units.where(" OR ".join(f"(a >= {len(b) * threshold / (2 - threshold) - 1e-9} AND a <= {len(b) * (2 - threshold) / threshold + 1e-9})" for b in {len(x): x for x in sets.values()}.values()))
+    fitting = F.expr(" OR ".join(f"(a >= {len(b) * threshold / (2 - threshold) - 1e-9} AND a <= {len(b) * (2 - threshold) / threshold + 1e-9})" for b in {len(x): x for x in sets.values()}.values()))
+    units = units.where(fitting)
     hits = F.filter(F.array(*[one(k, b) for k, b in sets.items()]), lambda x: x["score"] >= threshold - 1e-12)
-    return units.select("doc_id", "unit", "unit_no", F.explode(hits).alias("h")).select(
-        "doc_id", "unit", F.col("unit_no").cast("long").alias("unit_no"), "h.license_id", F.round("h.score", 6).alias("score")
-    )
+    found = units.select("doc_id", "unit", "unit_no", F.explode(hits).alias("h"))
+    grown = runs(whole, sets, telling_words(sets, threshold), high).withColumn("a", F.size("grams")).where(fitting)
+    grown = best_runs(grown.select("row", "doc_id", "i", "j", "no", "given", F.explode(hits).alias("h")))
+    found = found.unionAll(grown.select("doc_id", F.lit("run").alias("unit"), F.col("no").alias("unit_no"), "h"))
+    return found.select("doc_id", "unit", F.col("unit_no").cast("long").alias("unit_no"), "h.license_id", F.round("h.score", 6).alias("score"))
 
 
 def oracle(threshold: float = THRESHOLD) -> str:

@@ -347,6 +347,17 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_licenses_of_several_paragraphs(spark):
+    mit, isc = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["ISC"]
+    parts = mit.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    code = "\n".join(f"x{k} = y{k} + z{k}" for k in range(40))
+    rows = [(1, f"# A tool\n\nIt does a job.\n\n{parts}\n\n{code}"), (2, f"intro of it\r\n \r\n{parts}\n\n{code}".replace("\n\n", "\r\n\r\n"))]
+    rows += [(3, f"{code}\n{mit.replace(', ', chr(10))}\n{code}"), (4, f"{parts}\n\n{code}\n\n{isc.replace('copies. ', 'copies.' + chr(10) * 2)}\n\n{parts}"), (5, code + "\n\n" + parts[:300])]
+    got = {tuple(r) for r in licenses.scan(frame(spark, rows)).collect() if r.unit == "run"}
+    assert {(d, k) for d, _, _, k, _ in got} == {(1, "MIT"), (2, "MIT"), (3, "MIT"), (4, "MIT"), (4, "ISC")}
+    assert {(1, "run", 4, "MIT", 1.0), (2, "run", 2, "MIT", 1.0), (3, "run", 40, "MIT", 1.0), (4, "run", 0, "MIT", 1.0), (4, "run", 47, "ISC", 1.0), (4, "run", 51, "MIT", 1.0)} <= got
+
+
 def test_urls(spark):
     pages = [(1, "https://A.Example.net/en/5"), (2, "http://x.net/"), (3, "http://x.net"), (4, "https://example.com/de/9?x=1"), (5, "https://w.org/fr/a#b"), (6, None), (7, "nothing"), (8, "ftp://h?q=/a"), (9, "http://q.com/spam/1"), (9, "http://q.com/spam/1"), (10, "http://q.com/spam/77777"), (11, "http://q.com/good/3"), (12, "http://notnet/x"), (13, "://net/x://y/"), (14, "http://q.com/" + "a/" * 30)]
     pages += [(100 + i, f"http://q.com/spam/{1000 + i}") for i in range(40)] + [(200 + i, f"http://q.com/good/{2000 + i}") for i in range(60)]
