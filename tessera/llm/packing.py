@@ -108,7 +108,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     vocab = vocab or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocab), np.array([END], "<u4").tobytes()
+        encode, end = encoder(vocab, special=True), np.array([END], "<u4").tobytes()
         for b in batches:
             names, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             for s in batched(texts):

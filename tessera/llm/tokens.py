@@ -56,15 +56,18 @@ class Encoder:
     touch and their ids, with those of the space before, can be remembered. A
     text's first unit has no space before it and is told apart by a NUL. Texts
     with a NUL, or a space before other white space or at their end, are
-    encoded whole.
+    encoded whole. With ``special`` the names of added tokens in a text are
+    those tokens, as in a plain call, and texts that hold one are encoded whole.
     """
 
-    def __init__(self, path: str, dtype: str = "<u4"):
+    def __init__(self, path: str, dtype: str = "<u4", special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        self.whole = Tokenizer.from_file(path)
+        self.names = [a.content for a in self.whole.get_added_tokens_decoder().values()] if special else []
         self.dtype, self.known, self.seen = dtype, _Known(), bytearray(SEEN)
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids whose first byte is a space
@@ -109,6 +112,9 @@ class Encoder:
         """The ids of each text as bytes."""
         known, out, cut = self.known, [], []
         for t in texts:
+            if any(name in t for name in self.names):
+                out.append(np.array(self.whole.encode(t, add_special_tokens=False).ids, self.dtype).tobytes())
+                continue
             if "  " in t or "\0" in t or t.endswith(" "):
                 out.append(self._encode([t])[0])
                 continue
@@ -141,14 +147,14 @@ class Encoder:
         return out
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple[str, str, bool], Encoder] = {}
 
 
-def encoder(path: str, dtype: str = "<u4") -> Encoder:
+def encoder(path: str, dtype: str = "<u4", special: bool = False) -> Encoder:
     """This worker's encoder, kept from task to task."""
-    if (path, dtype) not in _encoders:
-        _encoders[path, dtype] = Encoder(path, dtype)
-    return _encoders[path, dtype]
+    if (path, dtype, special) not in _encoders:
+        _encoders[path, dtype, special] = Encoder(path, dtype, special)
+    return _encoders[path, dtype, special]
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:

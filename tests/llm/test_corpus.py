@@ -426,3 +426,17 @@ def test_encoder_gives_the_ids_of_whole_texts():
     for part in (texts[:400], texts[400:], texts):  # units are new, then noted, then remembered
         want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(part, add_special_tokens=False)]
         assert encode(part) == want
+
+
+def test_packing_encodes_special_names_as_a_plain_call(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.vocabulary())
+    rows = [(1, "a word <|endoftext|> and more"), (2, "<|endoftext|>"), (3, "none of it, <|endof text|>")]
+    want = {}
+    for d, t in rows:
+        ids = plain.encode(t, add_special_tokens=False).ids + [0]
+        want[d] = (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert want[2][0] == 2
+    got = packing.packed(frame(spark, rows), capacity=64, with_ids=True).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in got} == want
