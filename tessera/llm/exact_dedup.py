@@ -31,12 +31,12 @@ def _named(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     return rows.join(names, cond, "inner").select(*keep, names["name"])
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, every_row: bool = False) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Null text counts as empty. Of equal texts (after white-space squeezing) the
     smallest id stays; null ids sort last. Rows that repeat both id and text are
-    one document. Other columns are ignored. An empty table gives no rows.
+    one document, or with ``every_row`` one each. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     buckets = max(1024, 16 * shuffle_partitions(spark))
@@ -81,7 +81,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = done[0]
     for x in done[1:]:
         whole = whole.unionAll(x)
-    same = rows.drop("blocks").join(whole, "row").select("doc_id", "n", "name", "sha").distinct()
+    same = rows.drop("blocks").join(whole, "row").select("doc_id", "n", "name", "sha")
+    same = same if every_row else same.distinct()
     same = staged(same, "op1-ids")
     for x in old:
         dropped(x)

@@ -12,7 +12,7 @@ S = SparkSession
 
 
 def op1_exact_dedup(spark: S, sf_dir: str) -> D:
-    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), every_row=True)
 
 
 def op2_license_scan(spark: S, sf_dir: str) -> D:

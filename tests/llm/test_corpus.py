@@ -440,3 +440,12 @@ def test_packing_encodes_special_names_as_a_plain_call(spark):
     assert want[2][0] == 2
     got = packing.packed(frame(spark, rows), capacity=64, with_ids=True).collect()
     assert {r.doc_id: (r.length, r.ids_crc32) for r in got} == want
+
+
+def test_exact_dedup_gives_every_row(spark, tmp_path):
+    from tessera.llm import queries
+
+    rows = [(1, "a b"), (1, "a b"), (2, "a  b"), (None, "c"), (None, "c"), (3, None), (4, "alone in this")]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = collections.Counter(tuple(r)[:3] for r in queries.op1_exact_dedup(spark, str(tmp_path)).collect())
+    assert got == {(1, 1, 3): 2, (2, 1, 3): 1, (None, None, 2): 2, (3, 3, 1): 1, (4, 4, 1): 1}
