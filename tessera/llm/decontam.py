@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 Q = 8
 ERROR = 0.1
-#: Items shorter than this (normalised) say too little to be a leak.
+#: Items shorter than this (normalised) have too few grams to count; they are
+#: sought by pieces, of which one is without edits.
 SHORTEST = 40
 #: Characters of benchmark text in one broadcast block.
 BLOCK = 8 << 20
@@ -89,12 +90,15 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], error: float):
         self.ids, self.texts, self.budget, self.need = [], [], [], []
+        self.short: list[tuple[int, np.ndarray, int]] = []
         grams, owner, place = [], [], []
         for item, text in items:
             wide, codes = _codes(text)
             k = int(error * len(wide))
             need = len(wide) - Q + 1 - k * Q
             if len(wide) < SHORTEST or need < 1:
+                if len(wide):
+                    self.short.append((item, wide, min(k, len(wide) - 1)))
                 continue
             n = len(self.ids)
             self.ids.append(item)
@@ -119,6 +123,31 @@ class Index:
 
     def found(self, wide: np.ndarray, codes: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, edits, start) of the best region of each item in a text."""
+        return self._by_grams(wide, codes) + (self._by_pieces(wide) if self.short else [])
+
+    def _by_pieces(self, wide: np.ndarray) -> list[tuple[int, int, int]]:
+        """The same for short items: of k + 1 pieces one lies in the text as it is."""
+        out, data = [], wide.tobytes()
+        for item, text, k in self.short:
+            diagonals, size = set(), len(text)
+            for piece in range(k + 1):
+                low, high = piece * size // (k + 1), (piece + 1) * size // (k + 1)
+                part, at = text[low:high].tobytes(), -1
+                while (at := data.find(part, at + 1)) >= 0:
+                    if at % 4 == 0:
+                        diagonals.add(at // 4 - low)
+                        if not k:  # the first is the best
+                            break
+            near = []
+            for d in diagonals:
+                begin, end = max(0, d - k), min(len(wide), d + size + k)
+                if got := aligned(text, wide[begin:end], d - k - begin, d + k - begin, k):
+                    near.append((got[0], got[1] + begin))
+            if near:
+                out.append((item, *min(near)))
+        return out
+
+    def _by_grams(self, wide: np.ndarray, codes: np.ndarray) -> list[tuple[int, int, int]]:
         g = _grams(codes)
         if not len(g) or not self.ids:
             return []
@@ -199,8 +228,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     in a document with at most ``error`` edits a character, with its best
     region (start: a position in the normalised text; the least of equals).
 
-    Null and empty texts, null item ids and items under ``SHORTEST`` characters
-    give nothing; repeated rows are judged each; an item given twice is two.
+    Null and empty texts or items and null item ids give nothing; repeated rows are judged each; an item given twice is two.
     Whole texts of any length are searched.
     """
     spark = docs.sparkSession

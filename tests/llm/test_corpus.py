@@ -449,3 +449,19 @@ def test_exact_dedup_gives_every_row(spark, tmp_path):
     frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     got = collections.Counter(tuple(r)[:3] for r in queries.op1_exact_dedup(spark, str(tmp_path)).collect())
     assert got == {(1, 1, 3): 2, (2, 1, 3): 1, (None, None, 2): 2, (3, 3, 1): 1, (4, 4, 1): 1}
+
+
+def test_short_items_are_sought():
+    rng = random.Random(6)
+    draw = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    items = [(n, draw(n)) for n in (1, 5, 9, 10, 14, 15, 20, 22, 30, 31, 33, 39)]
+    index, hits = decontam.Index(items, 0.1), 0
+    for _ in range(40):
+        text = list(rng.choice(items)[1])
+        for _ in range(rng.randint(0, 3)):
+            text[rng.randrange(len(text))] = rng.choice(["", "e", "ab"])
+        text = draw(rng.randint(0, 20)) + "".join(text) + draw(rng.randint(0, 20))
+        want = {(i, e) for i, t in items if (e := edits(t, text)) <= int(0.1 * len(t))}
+        assert {(i, e) for i, e, _ in index.found(*decontam._codes(text))} == want
+        hits += sum(e > 0 for _, e in want)
+    assert hits > 3
