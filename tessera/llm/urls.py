@@ -3,12 +3,12 @@
 The paths of a host form a tree of segments. Going down from the host, at each
 node (1) variable segments (numbers, hexadecimal keys, long mixed names)
 become the wildcard ``*``; (2) branches whose share of good labels differs from
-that of all their siblings by no more than ``z`` standard errors are merged into
-``*`` as well, while a branch that differs stays by itself, at any depth and
-among any number of siblings. Among very many, one label more or less must not
-decide: the difference has to exceed that of a label as well. Each leaf is a template, with a
-purity (good + alpha * prior) / (labels + alpha); templates under the threshold
-are rejected, and with them the pages, labelled or not, that have them.
+that of all their siblings by no more than ``z`` standard errors and one label
+(so that a single label never decides) are merged into ``*`` as well, while a
+branch that differs stays by itself. Depth and number of siblings have no limit.
+Each leaf is a template, with a purity (good + alpha * prior) / (labels + alpha);
+templates under the threshold are rejected, and with them the pages, labelled or
+not, that have them.
 Host rules come first: the longest that fits decides.
 
 The tree is built over distinct (host, shape) pairs with their counts, so one
@@ -26,8 +26,6 @@ from .common import dropped, staged
 
 # Fixed values: (host, path prefix, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-DEPTH = 6  # of the SQL, which is written out level by level; the query has no limit
-CHILDREN = 64
 Z = 2.0
 ALPHA = 10.0
 PURITY = 0.5
@@ -65,9 +63,10 @@ def rule_of(rules=RULES) -> tuple[Column, Column]:
 
 
 def shape_of(path: Column) -> Column:
-    """The path's segments with variable ones as ``*``."""
+    """The path's segments with variable ones as ``*``; a segment that is a star
+    itself is percent-encoded, so that it isn't taken for the wildcard."""
     seg = F.filter(F.split(path, "/"), lambda s: s != "")
-    return F.transform(seg, lambda s: F.when(s.rlike(NUMBER) | s.rlike(KEY) | (F.length(s) > 40), F.lit("*")).otherwise(s))
+    return F.transform(seg, lambda s: F.when(s.rlike(NUMBER) | s.rlike(KEY) | (F.length(s) > 40), F.lit("*")).when(s == "*", F.lit("%2A")).otherwise(s))
 
 
 def templates(labelled: DataFrame) -> DataFrame:
@@ -86,9 +85,8 @@ def templates(labelled: DataFrame) -> DataFrame:
         node = child.groupBy(F.col("host").alias("h"), F.col("template").alias("t")).agg(
             F.count("*").alias("kids"), F.sum("cl").alias("nl"), F.sum("cg").alias("ng"), F.sum("cs").alias("shapes"))
         p = (F.col("ng") + 1.0) / (F.col("nl") + 2.0)
-        error = F.sqrt(p * (1 - p) / F.greatest(F.col("cl"), F.lit(1)))
-        one = F.when(F.col("kids") > CHILDREN, 1.0 / F.greatest(F.col("cl"), F.lit(1))).otherwise(0.0)
-        similar = (F.col("cl") == 0) | (F.abs(F.col("cg") / F.greatest(F.col("cl"), F.lit(1)) - p) - one <= Z * error)
+        some = F.greatest(F.col("cl"), F.lit(1))
+        similar = (F.col("cl") == 0) | (F.abs(F.col("cg") / some - p) - 1.0 / some <= Z * F.sqrt(p * (1 - p) / some))
         merged = F.when((F.col("kids") > 1) & similar, F.lit("*")).otherwise(F.col("seg"))
         step = child.join(node, (child["host"] == node["h"]) & (child["template"] == node["t"])).select(
             F.col("host").alias("h"), F.col("template").alias("t"), F.col("seg").alias("s"), F.concat("template", F.lit("/"), merged).alias("grown"), (F.col("shapes") == 1).alias("alone"))
@@ -132,34 +130,33 @@ def judged(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col
 
 
 def oracle() -> str:
-    """The same tree in DuckDB's SQL, written out level by level."""
+    """The same tree in DuckDB's SQL, a level of all hosts in each recursion."""
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     rest = "substr(url, strpos(url, '://') + 3)"
     ok = "coalesce(contains(url, '://'), false)"
     ordered = sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r[0], r[1]))
-    case = lambda k: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(h + p, v)[k]}'" for h, p, v in ordered) + " END"
+    case = lambda k: "CASE " + " ".join(f"WHEN (y.host = '{h}' OR ends_with(y.host, '.{h}')) AND starts_with(y.path, '{p}') THEN '{(h + p, v)[k]}'" for h, p, v in ordered) + " END"
     var = f"regexp_matches(s, '{NUMBER}') OR regexp_matches(s, '{KEY}') OR length(s) > 40"
-    sql = f"""
-WITH u AS (SELECT page_id, CASE WHEN {ok} THEN {low.format(f"regexp_extract({rest}, '^([^/?#]*)', 1)")} ELSE '' END AS host,
+    return f"""
+WITH RECURSIVE u AS (SELECT page_id, CASE WHEN {ok} THEN {low.format(f"regexp_extract({rest}, '^([^/?#]*)', 1)")} ELSE '' END AS host,
     CASE WHEN {ok} THEN regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
 k AS (SELECT doc_id, min(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-x AS (SELECT u.*, [CASE WHEN {var} THEN '*' ELSE s END FOR s IN string_split(path, '/') IF s <> ''] AS seg,
+y AS (SELECT u.*, [CASE WHEN {var} THEN '*' WHEN s = '*' THEN '%2A' ELSE s END FOR s IN string_split(path, '/') IF s <> ''] AS shape,
     try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})([.][A-Za-z0-9]{{1,5}})?/?$', 1), '') AS BIGINT) AS doc FROM u),
-y AS (SELECT page_id, host, path, CASE WHEN len(seg) > {DEPTH} THEN list_concat(seg[1:{DEPTH}], ['**']) ELSE seg END AS shape, doc FROM x),
-l0 AS (SELECT host, shape, count(*) AS n, count(good) AS labels, coalesce(sum(good), 0) AS good, '' AS template FROM y LEFT JOIN k ON y.doc = k.doc_id GROUP BY host, shape)"""
-    for d in range(DEPTH + 1):
-        sql += f""",
-c{d} AS (SELECT host, template, shape[{d + 1}] AS seg, sum(labels) AS cl, sum(good) AS cg FROM l{d} WHERE len(shape) > {d} GROUP BY 1, 2, 3),
-n{d} AS (SELECT host, template, count(*) AS kids, (sum(cg) + 1.0::DOUBLE) / (sum(cl) + 2.0::DOUBLE) AS p FROM c{d} GROUP BY 1, 2),
-g{d} AS (SELECT c.host, c.template, c.seg, c.template || '/' || CASE WHEN kids > 1 AND (kids > {CHILDREN} OR cl = 0 OR abs(cg::DOUBLE / greatest(cl, 1) - p) <= {Z}::DOUBLE * sqrt(p * (1 - p) / greatest(cl, 1))) THEN '*' ELSE seg END AS grown
-    FROM c{d} c JOIN n{d} n ON c.host = n.host AND c.template = n.template),
-l{d + 1} AS (SELECT l.host, l.shape, l.n, l.labels, l.good, coalesce(g.grown, l.template) AS template FROM l{d} l LEFT JOIN g{d} g ON l.host = g.host AND l.template = g.template AND l.shape[{d + 1}] = g.seg)"""
-    last = f"l{DEPTH + 1}"
-    return sql + f""",
-prior AS (SELECT CASE WHEN sum(labels) > 0 THEN sum(good)::DOUBLE / sum(labels) ELSE 1.0 END AS v FROM {last}),
-pur AS (SELECT host, template, (sum(good) + {ALPHA}::DOUBLE * any_value(v)) / (sum(labels) + {ALPHA}::DOUBLE) AS purity FROM {last}, prior GROUP BY 1, 2)
-SELECT y.page_id, y.host, y.path, {case(0).replace('host', 'y.host').replace('path', 'y.path')} AS rule,
-  coalesce({case(1).replace('host', 'y.host').replace('path', 'y.path')}, CASE WHEN purity < {PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
+shapes AS (SELECT host, shape, count(good)::DOUBLE AS labels, coalesce(sum(good), 0)::DOUBLE AS good FROM y LEFT JOIN k ON y.doc = k.doc_id GROUP BY host, shape),
+tree(d, host, shape, labels, good, template) AS (
+  SELECT 0, host, shape, labels, good, '' FROM shapes
+  UNION ALL
+  SELECT d + 1, host, shape, labels, good, template || '/' || CASE WHEN kids > 1
+      AND (cl = 0 OR abs(cg / greatest(cl, 1) - p) - 1.0::DOUBLE / greatest(cl, 1) <= {Z}::DOUBLE * sqrt(p * (1 - p) / greatest(cl, 1))) THEN '*' ELSE seg END
+  FROM (SELECT *, max(place) OVER (PARTITION BY host, template) AS kids, sum(labels) OVER (PARTITION BY host, template, seg) AS cl, sum(good) OVER (PARTITION BY host, template, seg) AS cg,
+      (sum(good) OVER (PARTITION BY host, template) + 1.0::DOUBLE) / (sum(labels) OVER (PARTITION BY host, template) + 2.0::DOUBLE) AS p
+    FROM (SELECT *, shape[d + 1] AS seg, dense_rank() OVER (PARTITION BY host, template ORDER BY shape[d + 1]) AS place FROM tree WHERE len(shape) > d))),
+done AS (SELECT host, shape, labels, good, template FROM tree WHERE d = len(shape)),
+prior AS (SELECT CASE WHEN sum(labels) > 0 THEN sum(good) / sum(labels) ELSE 1.0 END AS v FROM done),
+pur AS (SELECT host, template, (sum(good) + {ALPHA}::DOUBLE * any_value(v)) / (sum(labels) + {ALPHA}::DOUBLE) AS purity FROM done, prior GROUP BY 1, 2)
+SELECT y.page_id, y.host, y.path, {case(0)} AS rule,
+  coalesce({case(1)}, CASE WHEN purity < {PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
   t.template, round(purity, 6) AS purity
-FROM y JOIN {last} t ON y.host = t.host AND y.shape = t.shape JOIN pur ON t.host = pur.host AND t.template = pur.template
+FROM y JOIN done t ON y.host = t.host AND y.shape = t.shape JOIN pur ON t.host = pur.host AND t.template = pur.template
 """

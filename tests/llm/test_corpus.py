@@ -379,13 +379,14 @@ def test_urls_keep_branches_apart_at_any_width_and_depth(spark):
     deep = "a/b/c/d/e/f/g"
     parts = [("wide.com", f"s{k}", 1, 3) for k in range(70)] + [("wide.com", "spam", 0, 100), ("wide.com", "lone", 0, 1)]
     parts += [("deep.com", f"{deep}/good", 1, 100), ("deep.com", f"{deep}/spam", 0, 100), ("long.com", "x/y/z/1/2/3/4/5", 1, 1)]
+    parts += [("star.com", "*", 0, 100), ("star.com", "n/5", 1, 100), ("star.com", "4", 1, 100)]
     rows = [(host, part, good) for host, part, good, n in parts for _ in range(n)]
     p = spark.createDataFrame([(i, f"http://{h}/{part}/{i}") for i, (h, part, _) in enumerate(rows, 1000)], "page_id long, url string")
     lab = spark.createDataFrame([(i, good) for i, (_, _, good) in enumerate(rows, 1000)], "doc_id long, quality int")
     got = {r.page_id: r for r in urls.judged(p, lab).collect()}
     assert len(got) == len(rows)
     for i, (host, part, good) in enumerate(rows, 1000):
-        want = {"wide.com": part if part == "spam" else "*", "deep.com": part, "long.com": "x/y/z/*/*/*/*/*"}[host]
+        want = {"wide.com": part if part == "spam" else "*", "deep.com": part, "long.com": "x/y/z/*/*/*/*/*", "star.com": {"*": "%2A", "n/5": "n/*", "4": "*"}.get(part)}[host]
         assert got[i].template == f"/{want}/*"
         assert got[i].verdict == ("allow" if good or part == "lone" else "block")
 
