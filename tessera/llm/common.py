@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +19,14 @@ CHUNK_BYTES = 2 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
-    Only where it is unset (tests in local mode) a temporary one is chosen."""
+    Only where it is unset and all runs on one machine (tests in local mode) a
+    temporary one is chosen; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -83,27 +88,33 @@ def ambiguous(docs: DataFrame, id_col: str) -> bool:
 
 
 def squeezed(text: Column) -> Column:
-    """Null as empty, every run of separators as one space."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
+    """Null as empty, every run of separators as one space. A single space, by
+    far the most frequent run, is one already and isn't touched."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def bucketed_names(distinct: DataFrame, keys: list[str], name: str, buckets: int) -> DataFrame:
-    """A collision-free integer for each row of ``distinct`` (one row a key).
+#: Keys that hold more than 1 / HOT of all rows (so HOT at most) are broadcast.
+HOT = 1024
 
-    Keys are dealt to ``buckets`` by hash and sorted inside a bucket; the name
-    is ``position * buckets + bucket``. Equal input gives equal names, whatever
-    the partitions, so a recomputed task repeats them.
+
+def joined(rows: DataFrame, names: DataFrame, keys: dict[str, str], total: int) -> DataFrame:
+    """``rows`` with the columns of ``names``: an inner join on ``keys`` (column
+    of rows: column of names) where ``names`` has one row a key, and its column
+    ``c`` says how many of the ``total`` rows hold that key.
+
+    The counts add up to ``total``, so fewer than ``HOT`` keys can exceed
+    ``total / HOT``: these go to the rows by broadcast, whatever the size of the
+    corpus. No other key fills a task of the shuffled join. ``rows`` is read
+    twice and should be staged.
     """
-    from pyspark.sql import Window
-
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
-    order = Window.partitionBy("_bucket").orderBy(*keys)
-    return (
-        distinct.withColumn("_bucket", bucket)
-        .withColumn(name, F.row_number().over(order).cast("long") * buckets + F.col("_bucket"))
-        .drop("_bucket")
-    )
+    def meet(side: DataFrame) -> Column:
+        return reduce(and_, [rows[a] == side[b] for a, b in keys.items()])
+
+    hot = F.col("c") * HOT > total
+    often, seldom = names.where(hot).drop("c"), names.where(~hot).drop("c")
+    taken = rows.join(F.broadcast(often), meet(often))
+    return taken.unionAll(rows.join(F.broadcast(often.select(*keys.values())), meet(often), "left_anti").join(seldom, meet(seldom)))

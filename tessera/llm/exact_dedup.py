@@ -1,71 +1,72 @@
 """Exact dedup by deterministic block naming (DataFrame operations only).
 
-A normalised text is cut into fixed-size blocks. Distinct blocks are sorted
+A normalised text is cut into fixed-size blocks. The distinct blocks are sorted
 into integer names; then adjacent pairs of names are named in turn, until each
 document has a single integer. Two documents of the same length have the same
 integer exactly if their texts are equal: names stand for contents, not for
 hashes, so nothing can collide.
 
-A document whose pair (length, first block) occurs once is settled at once:
-no other text can equal it. All others go through the whole naming, one level
-a round, each round written to the shared folder.
+Blocks are dealt and sorted by a hash, and each hash carries the least and the
+greatest block that has it. Where these are the same text, the hash stands for
+that one block of the whole corpus, and rows get its name by the hash alone, so
+texts move once. Blocks that share a hash are named, and joined, by content.
+Each level of names is written to the shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ambiguous, bucketed_names, dropped, sha256, shuffle_partitions, squeezed, staged
+from .common import ambiguous, dropped, joined, sha256, squeezed, staged
 
 #: Characters in a block.
-BLOCK = 2048
+BLOCK = 4096
 
 
-def _named(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    """``rows`` with ``name`` for their key; the copies of a key are combined
-    before the shuffle, and the join back is one that AQE can split."""
-    names = bucketed_names(rows.select(*keys).distinct(), keys, "name", buckets)
-    cond = [rows[k] == names[k] for k in keys]
-    keep = [rows[c] for c in rows.columns if c not in keys]
-    return rows.join(names, cond, "inner").select(*keep, names["name"])
+def _block_names(cut: DataFrame, total: int) -> DataFrame:
+    """``row, left, idx, name`` for each block of ``cut`` (row, hashes, blocks)."""
+    at = cut.select("row", F.size("hashes").alias("left"), F.posexplode("hashes").alias("idx", "h"))
+    texts = cut.select(F.explode(F.arrays_zip("hashes", "blocks")).alias("x")).select(F.col("x.hashes").alias("h"), F.col("x.blocks").alias("block"))
+    one = texts.groupBy("h").agg(F.count("*").alias("c"), F.min("block").alias("low"), F.max("block").alias("high"))
+    one = one.sortWithinPartitions("h").select(F.col("h").alias("nh"), "c", (F.col("low") == F.col("high")).alias("alone"), F.monotonically_increasing_id().alias("name"))
+    one = staged(one, "op1-names")
+    level = joined(at, one.where("alone").drop("alone"), {"h": "nh"}, total).drop("nh", "h")
+    odd = one.where("NOT alone").select("nh")
+    if not odd.isEmpty():
+        full = cut.select("row", F.size("hashes").alias("left"), F.posexplode(F.arrays_zip("hashes", "blocks")).alias("idx", "x"))
+        full = full.select("row", "left", "idx", F.col("x.hashes").alias("h"), F.col("x.blocks").alias("block"))
+        full = staged(full.join(odd, full["h"] == odd["nh"], "left_semi"), "op1-odd")
+        more = full.groupBy("h", "block").agg(F.count("*").alias("c")).sortWithinPartitions("h", "block")
+        # below zero, apart from the names of the others
+        more = staged(more.select(F.col("h").alias("nh"), F.col("block").alias("nb"), "c", (-2 - F.monotonically_increasing_id()).alias("name")), "op1-names")
+        level = level.unionAll(joined(full, more, {"h": "nh", "block": "nb"}, total).select("row", "left", "idx", "name"))
+    return level
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, every_row: bool = False) -> DataFrame:
+def exact_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, every_row: bool = False, hashed=F.xxhash64
+) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Null text counts as empty. Of equal texts (after white-space squeezing) the
     smallest id stays; null ids sort last. Rows that repeat both id and text are
-    one document, or with ``every_row`` one each. Other columns are ignored. An empty table gives no rows.
+    one document, or with ``every_row`` one each. Ids may have any type that can
+    be ordered. ``hashed`` deals out blocks; a poor one costs time, and changes
+    no result. Other columns are ignored. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    buckets = max(1024, 16 * shuffle_partitions(spark))
+    norm = F.col("norm")
     base = docs.select(F.col(id_col).alias("doc_id"), squeezed(F.col(text_col)).alias("norm"))
-    base = base.withColumn("n", F.length("norm"))
-    head = F.substring("norm", 1, block)
-    shared = (
-        base.select("n", head.alias("head"))
-        .groupBy("n", "head").agg(F.count("*").alias("c")).where("c > 1")
-        .select(F.col("n").alias("hn"), F.xxhash64("head").alias("hh")).distinct()
-    )
-    # the hash only picks who is looked at further; it decides no equality
-    shared = staged(shared, "op1-heads")
-    cut = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n") - 1) / block).cast("int"))),
-        lambda i: F.substr(F.col("norm"), i * block + 1, F.lit(block)),
-    )
-    split = base.join(shared, (base["n"] == shared["hn"]) & (F.xxhash64(head) == shared["hh"]), "left").select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "n", sha256(F.col("norm")).alias("sha"),
-        F.when(F.col("hn").isNotNull(), cut).alias("blocks"),
-    )
-    split = staged(split, "op1-blocks")
-    alone = split.where("blocks IS NULL").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256")
-    )
-    rows = split.where("blocks IS NOT NULL")
-    width = rows.agg(F.max(F.size("blocks"))).first()[0] or 0
-    level = rows.select("row", F.size("blocks").alias("left"), F.posexplode("blocks").alias("idx", "block"))
-    level = staged(_named(level, ["block"], buckets), "op1-level")
+    blocks = F.when(norm == "", F.array(norm)).otherwise(F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block}}}"), F.lit(0)))
+    cut = base.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.length("norm").alias("n"), sha256(norm).alias("sha"), blocks.alias("blocks"))
+
+    def each(b: Column) -> Column:
+        return hashed(b).cast("long")
+
+    cut = staged(cut.withColumn("hashes", F.transform("blocks", each)), "op1-blocks")
+    size = cut.agg(F.max(F.size("hashes")), F.sum(F.size("hashes")), F.count("*")).first()
+    width, total, n_rows = size[0] or 0, size[1] or 0, size[2]
+    level = staged(_block_names(cut, total), "op1-level")
     done, old = [level.where("left = 1").select("row", "name")], [level]
     while width > 1:
         pairs = (
@@ -74,23 +75,25 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             .agg(F.max(F.when(F.col("idx") % 2 == 0, F.col("name"))).alias("a"), F.max(F.when(F.col("idx") % 2 == 1, F.col("name"))).alias("b"))
             .withColumn("left", F.ceil(F.col("left") / 2).cast("int")).withColumn("b", F.coalesce("b", F.lit(-1)))
         )
-        level = staged(_named(pairs, ["a", "b"], buckets), "op1-level")
-        old.append(level)
+        pairs = staged(pairs, "op1-pairs")
+        names = pairs.groupBy("a", "b").agg(F.count("*").alias("c")).sortWithinPartitions("a", "b")
+        names = staged(names.select(F.col("a").alias("na"), F.col("b").alias("nb"), "c", F.monotonically_increasing_id().alias("name")), "op1-names")
+        level = staged(joined(pairs, names, {"a": "na", "b": "nb"}, pairs.count()).select("row", "left", "idx", "name"), "op1-level")
+        old += [pairs, names, level]
         done.append(level.where("left = 1").select("row", "name"))
         width = -(-width // 2)
     whole = done[0]
     for x in done[1:]:
         whole = whole.unionAll(x)
-    same = rows.drop("blocks").join(whole, "row").select("doc_id", "n", "name", "sha")
+    same = cut.select("row", "doc_id", "n", "sha").join(whole, "row").select("doc_id", "n", "name", "sha")
     same = same if every_row else same.distinct()
     same = staged(same, "op1-ids")
-    for x in old:
+    for x in [*old, cut]:
         dropped(x)
-    groups = same.groupBy(F.col("n").alias("gn"), F.col("name").alias("gname")).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    grouped = same.join(groups, (same["n"] == groups["gn"]) & (same["name"] == groups["gname"])).select(
+    groups = same.groupBy(F.col("n").alias("gn"), F.col("name").alias("gname")).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.count("*").alias("c"))
+    return joined(same, staged(groups, "op1-groups"), {"n": "gn", "name": "gname"}, n_rows).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
     )
-    return alone.unionAll(grouped)
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import decontam, exact_dedup, licenses, lines, packing, simhash, substrings, tokens, toxicity, urls
 
@@ -56,6 +57,9 @@ def test_exact_dedup(spark):
     for block in (7, 2048):
         got = exact_dedup.exact_groups(frame(spark, rows), block=block).collect()
         assert {tuple(r) for r in got} == expect and len(got) == len(expect)
+    # hashes that collide cost time, and change nothing
+    poor = exact_dedup.exact_groups(frame(spark, rows), block=7, hashed=lambda b: F.length(b) % 3)
+    assert {tuple(r) for r in poor.collect()} == expect
     kept = exact_dedup.without_copies(frame(spark, rows))
     assert kept.columns[:3] == ["doc_id", "text", "n"]
     assert exact_dedup.exact_groups(frame(spark, [])).count() == 0
