@@ -28,7 +28,7 @@ def op4_best_fit_packing(spark: S, sf_dir: str) -> D:
 
 
 def op5_line_dedup(spark: S, sf_dir: str) -> D:
-    return lines.digest(lines.line_dedup(table(spark, sf_dir, "documents")))
+    return lines.digest(lines.line_dedup(table(spark, sf_dir, "documents"), one_line=lines.ONE_LINE))
 
 
 def op6_simhash(spark: S, sf_dir: str) -> D:
@@ -79,17 +79,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n
 """
 
 OP5 = r"""
-WITH l AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+WITH RECURSIVE l AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
 n AS (SELECT doc_id, pos, regexp_replace(ls[pos], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM l),
 s AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM n WHERE line <> ''),
 p AS (SELECT a.doc_id, a.seq, a.line AS x, b.line AS y FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.seq = a.seq + 1),
 r AS (SELECT doc_id, seq, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, seq) AS k FROM p),
-m AS (SELECT DISTINCT doc_id, seq + j AS seq FROM r, range(0, 2) AS t(j) WHERE k > 1),
+o AS (SELECT doc_id, seq, length(line) AS chars, row_number() OVER (PARTITION BY line ORDER BY doc_id, seq) AS k FROM s),
+m AS (SELECT doc_id, seq + j AS seq FROM r, range(0, 2) AS t(j) WHERE k > 1 UNION SELECT doc_id, seq FROM o WHERE k > 1 AND chars >= 100),
 g AS (SELECT s.doc_id, list(s.pos) AS gone FROM s JOIN m ON s.doc_id = m.doc_id AND s.seq = m.seq GROUP BY s.doc_id),
+e(doc_id, seq, d, key) AS (
+  SELECT doc_id, seq, 1, md5(line) FROM (SELECT *, count(*) OVER (PARTITION BY line) AS c FROM s) WHERE c > 1
+  UNION ALL
+  SELECT doc_id, seq, d + 1, md5(key || line) FROM (
+    SELECT e.doc_id, e.seq, d, key, line, count(*) OVER (PARTITION BY key, line) AS c FROM e JOIN s ON s.doc_id = e.doc_id AND s.seq = e.seq + d) WHERE c > 1),
+x AS (SELECT doc_id, seq, max(d) AS lcp FROM e GROUP BY doc_id, seq),
+z AS (SELECT doc_id, count(*) AS n_runs, max(lcp) AS longest_run FROM x WHERE lcp >= 2
+      AND NOT EXISTS (SELECT 1 FROM x AS b WHERE b.doc_id = x.doc_id AND b.seq = x.seq - 1 AND b.lcp > x.lcp) GROUP BY doc_id),
 d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
 SELECT d.doc_id, CAST(CASE WHEN t = '' THEN 0 ELSE len(ls) END AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
-  sha256(coalesce(array_to_string([ls[i] FOR i IN range(1, len(ls) + 1) IF NOT list_contains(coalesce(gone, []), i)], chr(10)), '')) AS kept_sha256
-FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+  sha256(coalesce(array_to_string([ls[i] FOR i IN range(1, len(ls) + 1) IF NOT list_contains(coalesce(gone, []), i)], chr(10)), '')) AS kept_sha256,
+  CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(coalesce(longest_run, 0) AS BIGINT) AS longest_run
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN z ON d.doc_id = z.doc_id
 """
 
 

@@ -109,9 +109,51 @@ def test_lines(spark):
             assert r.kept_text == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[r.doc_id])
         assert len(got) == len(rows)
     assert lines.line_dedup(frame(spark, [])).count() == 0
-    ranks = lines.suffix_ranks(lines.line_rows(spark.createDataFrame([(1, "a\nb\nc\nx"), (2, "q\na\nb\nc"), (3, "b\nz")], "doc long, text string")), None)
-    deepest = {(r.doc, r.seq): r.lcp for r in ranks.groupBy("doc", "seq").agg({"lcp": "max"}).withColumnRenamed("max(lcp)", "lcp").collect()}
-    assert deepest == {(1, 1): 2, (2, 2): 2, (1, 2): 2, (2, 3): 2, (1, 3): 1, (2, 4): 1, (3, 1): 1}
+    levels = lines.suffix_levels(lines.line_rows(spark.createDataFrame([(1, "a\nb\nc\nx"), (2, "q\na\nb\nc"), (3, "b\nz")], "doc long, text string")))
+    assert [x.where("times > 1").count() for x in levels] == [7, 4, 0]
+    assert {(r.doc, r.seq): r.lcp for r in lines.prefix_lengths(levels).collect()} == {(1, 1): 3, (2, 2): 3, (1, 2): 2, (2, 3): 2, (1, 3): 1, (2, 4): 1, (3, 1): 1}
+
+
+def brute_prefixes(docs):
+    """Each suffix's longest prefix that starts at another place too."""
+    out = {}
+    for d, a in docs.items():
+        for i in range(len(a)):
+            best = 0
+            for e, b in docs.items():
+                for j in range(len(b)):
+                    if (d, i) != (e, j):
+                        n = 0
+                        while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                            n += 1
+                        best = max(best, n)
+            if best:
+                out[d, i + 1] = best
+    return out
+
+
+def test_line_runs(spark):
+    rng = random.Random(8)
+    some = [[rng.choice("abcdefgh") for _ in range(rng.randint(1, 14))] for _ in range(9)]
+    docs = {d: x for d, x in enumerate([*some, some[0], some[1] + some[2], ["r"] * 11, ["r"] * 5, ["only"], some[3][2:] + ["z"] + some[3]])}
+    rows = [(d, "\n\n ".join(x)) for d, x in docs.items()] + [(90, None), (91, "")]
+    levels = lines.suffix_levels(lines.line_rows(spark.createDataFrame(rows, "doc long, text string")))
+    want = brute_prefixes(docs)
+    prefixes = lines.prefix_lengths(levels)
+    assert {(r.doc, r.seq): r.lcp for r in prefixes.collect()} == want and max(want.values()) >= 10
+    runs = {k: n for k, n in want.items() if want.get((k[0], k[1] - 1), 0) <= n}
+    assert {(r.doc, r.seq): r.lcp for r in lines.maximal_runs(prefixes).collect()} == runs
+    got = {r.doc_id: (r.n_runs, r.longest_run) for r in lines.line_dedup(frame(spark, rows)).collect()}
+    for d, _ in rows:
+        own = [n for (e, _), n in runs.items() if e == d and n >= 2]
+        assert got[d] == (len(own), max(own, default=0))
+
+
+def test_one_long_line(spark):
+    long = "word " * 30
+    rows = [(1, long), (2, "x\n" + long), (3, long + "\n" + long), (4, "short\nown"), (5, "short"), (6, None)]
+    got = {r.doc_id: r.kept_text for r in lines.line_dedup(frame(spark, rows), one_line=100).collect()}
+    assert got == {1: long, 2: "x", 3: "", 4: "short\nown", 5: "short", 6: ""}
 
 
 def brute_print(t):
