@@ -58,6 +58,16 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "like_ci": ("SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%BRASS%' OR p_name LIKE '_a%'", "SELECT p_partkey, p_type FROM part WHERE lower(p_type) LIKE '%brass%' OR lower(p_name) LIKE '_a%'"),
     "like_escape": ("SELECT page_id FROM pages WHERE url LIKE '%utm\\_source%' ESCAPE '\\'", "SELECT page_id FROM pages WHERE lower(url) LIKE '%utm\\_source%' ESCAPE '\\'"),
     "glob_class": ("SELECT c_custkey FROM customer WHERE c_name GLOB '*[0-4][^5]' AND c_mktsegment GLOB '[A-M]*'", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '^.*[0-4][^5]$') AND regexp_matches(c_mktsegment, '^[A-M].*$')"),
+    "fn_like_glob": ("SELECT p_partkey, like('%brass', p_type) AS a, glob('*BRASS', p_type) AS b, like('a!%b', 'A%B', '!') AS c, p_name GLOB substr(p_name, 1, 1) || '*' AS d FROM part",
+                     "SELECT p_partkey, CAST(lower(p_type) LIKE '%brass' AS INTEGER) AS a, CAST(p_type LIKE '%BRASS' AS INTEGER) AS b, 1 AS c, 1 AS d FROM part"),
+    "literals": ("SELECT n_nationkey, 0xFF + n_nationkey AS a, +n_nationkey AS b, 9223372036854775808 AS c, -9223372036854775808 AS d, 1e3 AS e, .5 AS f, 'it''s' AS g, typeof(+n_name) AS h FROM nation",
+                 "SELECT n_nationkey, 255 + n_nationkey AS a, n_nationkey AS b, CAST(9223372036854775808 AS DOUBLE) AS c, CAST(-9223372036854775808 AS BIGINT) AS d, CAST(1000 AS DOUBLE) AS e, CAST(0.5 AS DOUBLE) AS f, 'it''s' AS g, 'text' AS h FROM nation"),
+    "cast_numeric": ("SELECT p_partkey, CAST(p_size AS NUMERIC) AS a, CAST(p_size || '.50' AS NUMERIC) AS b, CAST('12.0' AS NUMERIC) AS c, CAST(p_retailprice AS DECIMAL) AS d FROM part",
+                     "SELECT p_partkey, p_size AS a, p_size + 0.5::DOUBLE AS b, 12 AS c, p_retailprice AS d FROM part"),
+    "values_top": ("VALUES (1, 'a', 2.5), (2, NULL, 3), (3, 'c', NULL)", "SELECT * FROM (VALUES (1, 'a', 2.5::DOUBLE), (2, NULL, 3), (3, 'c', NULL)) t(column1, column2, column3)"),
+    "values_mixed": ("SELECT column1 AS v FROM (VALUES (2.5), ('x'), (7), (NULL), (1e15))", "SELECT v FROM (VALUES ('2.5'), ('x'), ('7'), (NULL), ('1.0e+15')) t(v)"),
+    "substr_far": ("SELECT n_nationkey, substr(n_name, 9999999999) AS a, substr(n_name, -9999999999) AS b, substr(n_name, 2, 9999999999) AS c, substr(n_name, 9999999999, -9999999999) AS d FROM nation",
+                   "SELECT n_nationkey, '' AS a, n_name AS b, substr(n_name, 2) AS c, n_name AS d FROM nation"),
     "star_qualified": ("SELECT n.*, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey", None),
     "values_source": ("SELECT column1 AS a, column2 AS b FROM (VALUES (1, 'x'), (2, NULL), (3, 'z')) WHERE column1 > 1", "SELECT a, b FROM (VALUES (1, 'x'), (2, NULL), (3, 'z')) t(a, b) WHERE a > 1"),
     "from_less": ("SELECT 1 + 2 AS a, 'x' || 'y' AS b, NULL IS NULL AS c WHERE 1", "SELECT 3 AS a, 'xy' AS b, 1 AS c"),
@@ -73,7 +83,7 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "join_chain": (
         "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name", None),
     "semi_exists": ("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)", None),
-    "anti_not_exists": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", None),
+    "anti_not_exists": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", None),
     "in_sub": ("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')", None),
     "anti_not_in_null": ("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)", None),
     # --- aggregates
@@ -92,11 +102,11 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "agg_expression": ("SELECT o_orderstatus, count(*) * 2 + max(o_orderkey) AS x, CASE WHEN count(*) > 100 THEN 'many' ELSE 'few' END AS k FROM orders GROUP BY o_orderstatus", None),
     "agg_int_sum": ("SELECT l_returnflag, sum(l_linenumber) AS s, sum(l_linenumber) / count(*) AS d FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, CAST(sum(l_linenumber) AS BIGINT) AS s, CAST(sum(l_linenumber) // count(*) AS BIGINT) AS d FROM lineitem GROUP BY l_returnflag"),
     # --- order, limit, distinct
-    "order_nulls": ("SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality, d.doc_id LIMIT 50", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality NULLS FIRST, d.doc_id LIMIT 50"),
-    "order_nulls_last": ("SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality ASC NULLS LAST, d.doc_id DESC LIMIT 50", None),
-    "order_position_alias": ("SELECT c_custkey AS k, c_acctbal AS b FROM customer ORDER BY 2 DESC, k LIMIT 25", None),
-    "order_stable": ("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority LIMIT 40", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority, o_orderkey LIMIT 40"),
-    "order_expression": ("SELECT p_partkey FROM part ORDER BY p_size % 7, length(p_name), p_partkey LIMIT 30", None),
+    "order_nulls": ("SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality, d.doc_id", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality NULLS FIRST, d.doc_id"),
+    "order_nulls_last": ("SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality ASC NULLS LAST, d.doc_id DESC", None),
+    "order_position_alias": ("SELECT c_custkey AS k, c_acctbal AS b FROM customer ORDER BY 2 DESC, k", None),
+    "order_stable": ("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority, o_orderkey"),
+    "order_expression": ("SELECT p_partkey FROM part ORDER BY p_size % 7, length(p_name), p_partkey", None),
     "topk": ("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10", None),
     "limit_comma": ("SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 5, 7", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 7 OFFSET 5"),
     "limit_negative": ("SELECT n_nationkey FROM nation ORDER BY 1 LIMIT -1 OFFSET 3", "SELECT n_nationkey FROM nation ORDER BY 1 OFFSET 3"),
@@ -110,6 +120,8 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "intersect": ("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000", None),
     "except": ("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000", None),
     "setop_left_assoc": ("SELECT n_nationkey AS k FROM nation UNION SELECT 99 INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT 3 ORDER BY k LIMIT 10", "SELECT * FROM (((SELECT n_nationkey AS k FROM nation UNION SELECT 99) INTERSECT SELECT s_nationkey FROM supplier) EXCEPT SELECT 3) ORDER BY k LIMIT 10"),
+    "setop_collation": ("SELECT upper(event_type) COLLATE NOCASE AS e FROM events UNION SELECT event_type FROM events", "SELECT DISTINCT upper(event_type) AS e FROM events"),
+    "setop_except_collation": ("SELECT n_name COLLATE NOCASE AS e FROM nation EXCEPT SELECT lower(n_name) FROM nation WHERE n_nationkey > 5", "SELECT n_name AS e FROM nation WHERE n_nationkey <= 5"),
     # --- subqueries and CTEs
     "scalar_sub": ("SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.8 FROM orders)", None),
     "scalar_sub_correlated": ("SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS m FROM customer", None),
@@ -117,11 +129,14 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "in_sub_projection": ("SELECT n_nationkey, n_nationkey IN (SELECT s_nationkey FROM supplier) AS i, n_nationkey NOT IN (SELECT quality FROM labels UNION ALL SELECT NULL) AS j FROM nation",
                           "SELECT n_nationkey, CAST(n_nationkey IN (SELECT s_nationkey FROM supplier) AS INTEGER) AS i, CASE WHEN n_nationkey IN (SELECT quality FROM labels) THEN 0 END AS j FROM nation"),
     "exists_projection": ("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS e FROM customer", "SELECT c_custkey, CAST(EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS INTEGER) AS e FROM customer"),
-    "derived_nested": ("SELECT k, n FROM (SELECT k, n FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) WHERE n > 10) WHERE k < 1000", None),
+    "derived_nested": ("SELECT k, n FROM (SELECT k, n FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) WHERE n > 10) WHERE n % 2 = 0", None),
     "cte_chain": ("WITH a AS (SELECT o_custkey AS k, sum(o_totalprice) AS s FROM orders GROUP BY 1), b AS (SELECT k FROM a WHERE s > 500000) SELECT c_name FROM customer JOIN b ON c_custkey = k", None),
     "cte_values_rename": ("WITH v(a, b) AS (VALUES (1, 'one'), (2, 'two')) SELECT b, r_name FROM v JOIN region ON r_regionkey = a", None),
     "cte_recursive_all": ("WITH RECURSIVE c(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM c WHERE n < 60) SELECT n, n * n AS s FROM c", None),
     "cte_recursive_distinct": ("WITH RECURSIVE c(n) AS (SELECT 1 UNION SELECT (n * 3) % 25 FROM c) SELECT n FROM c", None),
+    "cte_once": ("WITH x AS (SELECT random() AS r) SELECT a.r = b.r AS same FROM x a, x b", "SELECT 1 AS same"),
+    "cte_thrice": (
+        "WITH g AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) SELECT a.k, a.n FROM g a JOIN g b ON a.k = b.k WHERE a.n = (SELECT max(n) FROM g)", None),
     "cte_in_from": ("SELECT t.k FROM (WITH a AS (SELECT n_regionkey AS k FROM nation) SELECT k, count(*) AS n FROM a GROUP BY k) t WHERE t.n = 5", "SELECT n_regionkey AS k FROM nation GROUP BY 1 HAVING count(*) = 5"),
     # --- functions
     "fn_text": (
@@ -145,9 +160,21 @@ QUERIES: dict[str, tuple[str, str | None]] = {
         "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN round(sqrt(c_acctbal), 6) END AS s, CASE WHEN c_acctbal > 0 THEN round(ln(c_acctbal), 6) END AS l, CASE WHEN c_acctbal > 0 THEN round(log10(c_acctbal), 6) END AS g, CASE WHEN c_custkey > 0 THEN round(ln(c_custkey) / ln(2), 6) END AS b, CASE WHEN c_custkey BETWEEN -1 AND 1 THEN acos(c_custkey) END AS a FROM customer"),
     "fn_trig": ("SELECT s_suppkey, round(sin(s_suppkey), 9) AS a, round(cos(s_suppkey), 9) AS b, round(atan2(s_suppkey, 3), 9) AS c, round(degrees(1.5), 9) AS d, round(tanh(0.5), 9) AS e, round(asinh(s_suppkey), 9) AS f, round(exp(0.5), 9) AS g, round(pow(s_suppkey, 2), 3) AS h, pi() AS p FROM supplier",
                 "SELECT s_suppkey, round(sin(s_suppkey), 9) AS a, round(cos(s_suppkey), 9) AS b, round(atan2(s_suppkey, 3), 9) AS c, round(degrees(1.5::DOUBLE), 9) AS d, round(tanh(0.5::DOUBLE), 9) AS e, round(asinh(s_suppkey), 9) AS f, round(exp(0.5::DOUBLE), 9) AS g, round(pow(s_suppkey, 2), 3) AS h, pi() AS p FROM supplier"),
+    "fn_math_more": (
+        "SELECT s_suppkey, round(log10(s_suppkey), 9) AS a, round(log2(s_suppkey), 9) AS b, round(tan(s_suppkey), 6) AS c, round(asin(1.0 / s_suppkey), 9) AS d, round(atan(s_suppkey), 9) AS e, round(sinh(1.0 / s_suppkey), 9) AS f, round(cosh(1.0 / s_suppkey), 9) AS g, "
+        "round(acosh(s_suppkey), 9) AS h, round(atanh(0.9 / s_suppkey), 9) AS i, round(radians(s_suppkey), 9) AS j, asin(s_suppkey + 1) AS k, acosh(0) AS l, atanh(2) AS m, log2(-s_suppkey) AS n, tan('4x') AS o, sin('0') AS p FROM (SELECT s_suppkey + 1 AS s_suppkey FROM supplier) s",
+        "SELECT s_suppkey, round(log10(s_suppkey), 9) AS a, round(log2(s_suppkey), 9) AS b, round(tan(s_suppkey), 6) AS c, round(asin(1.0::DOUBLE / s_suppkey), 9) AS d, round(atan(s_suppkey), 9) AS e, round(sinh(1.0::DOUBLE / s_suppkey), 9) AS f, round(cosh(1.0::DOUBLE / s_suppkey), 9) AS g, "
+        "round(acosh(s_suppkey), 9) AS h, round(atanh(0.9::DOUBLE / s_suppkey), 9) AS i, round(radians(s_suppkey), 9) AS j, CAST(NULL AS DOUBLE) AS k, CAST(NULL AS DOUBLE) AS l, CAST(NULL AS DOUBLE) AS m, CAST(NULL AS DOUBLE) AS n, CAST(NULL AS DOUBLE) AS o, CAST(0 AS DOUBLE) AS p FROM (SELECT s_suppkey + 1 AS s_suppkey FROM supplier) s"),
     "fn_rounding": ("SELECT c_custkey, floor(c_acctbal) AS f, ceil(c_acctbal) AS c, trunc(c_acctbal) AS t, sign(c_acctbal) AS s, mod(c_custkey, 7) AS m, abs(c_acctbal) AS a, round(c_acctbal) AS r, floor(c_custkey) AS i FROM customer",
                     "SELECT c_custkey, floor(c_acctbal) AS f, ceil(c_acctbal) AS c, trunc(c_acctbal) AS t, CAST(sign(c_acctbal) AS BIGINT) AS s, CAST(c_custkey % 7 AS DOUBLE) AS m, abs(c_acctbal) AS a, round(c_acctbal) AS r, c_custkey AS i FROM customer"),
-    "fn_round_exact": ("SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_discount, 2) AS r FROM lineitem", ""),
+    # the decimal expansion of a double is finite, so its third digit after the point decides exactly
+    "fn_round_exact": (
+        "SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_discount, 2) AS r FROM lineitem",
+        "SELECT l_orderkey, l_linenumber, CAST(CAST(substr(x, 1, strpos(x, '.') + 2) AS DECIMAL(30, 2)) + CASE WHEN substr(x, strpos(x, '.') + 3, 1) >= '5' THEN 0.01 ELSE 0 END AS DOUBLE) AS r "
+        "FROM (SELECT l_orderkey, l_linenumber, printf('%.70f', l_extendedprice * l_discount) AS x FROM lineitem)"),
+    "fn_round_far": ("SELECT event_id, round(value * 1e13, 4) AS a, round(value, 20) AS b, round(-value, 1) AS c FROM events",
+                     "SELECT event_id, value * 1e13::DOUBLE AS a, value AS b, -CAST(CAST(substr(x, 1, strpos(x, '.') + 1) AS DECIMAL(30, 1)) + CASE WHEN substr(x, strpos(x, '.') + 2, 1) >= '5' THEN 0.1 ELSE 0 END AS DOUBLE) AS c "
+                     "FROM (SELECT event_id, value, printf('%.70f', value) AS x FROM events)"),
     "fn_date_format": (
         "SELECT o_orderkey, date(o_orderdate) AS d, datetime(o_orderdate) AS t, strftime('%Y/%m/%d %H:%M %j', o_orderdate) AS f, strftime('%w', o_orderdate) AS w, unixepoch(o_orderdate) AS u FROM orders",
         "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS t, strftime(o_orderdate, '%Y/%m/%d %H:%M %j') AS f, CAST(dayofweek(o_orderdate) AS VARCHAR) AS w, CAST(epoch(o_orderdate) AS BIGINT) AS u FROM orders"),
@@ -159,9 +186,36 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "fn_julianday": ("SELECT o_orderkey, round(julianday(o_orderdate), 5) AS j FROM orders", "SELECT o_orderkey, round(epoch(o_orderdate) / 86400.0::DOUBLE + 2440587.5::DOUBLE, 5) AS j FROM orders"),
     "fn_iso_week": ("SELECT o_orderkey, strftime('%G-W%V-%u', o_orderdate) AS w FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%G-W%V-%u') AS w FROM orders"),
     "fn_epoch": ("SELECT event_id, datetime(event_id * 1000, 'unixepoch') AS t, strftime('%H:%M:%f', ts) AS f FROM events", "SELECT event_id, strftime(make_timestamp(event_id * 1000 * 1000000), '%Y-%m-%d %H:%M:%S') AS t, strftime(ts, '%H:%M:') || lpad(CAST(second(ts) AS VARCHAR), 2, '0') || '.' || lpad(CAST(millisecond(ts) % 1000 AS VARCHAR), 3, '0') AS f FROM events"),
-    "fn_timediff": ("SELECT o_orderkey, timediff(o_orderdate, '1990-01-01') AS d FROM orders", ""),
+    # from the first of a year on, what is added is what the date's parts count
+    "fn_timediff": ("SELECT o_orderkey, timediff(o_orderdate, '1990-01-01') AS d FROM orders",
+                    "SELECT o_orderkey, printf('+%04d-%02d-%02d ', year(o_orderdate) - 1990, month(o_orderdate) - 1, day(o_orderdate) - 1) || strftime(o_orderdate, '%H:%M:%S') || '.000' AS d FROM orders"),
+    "fn_time": ("SELECT event_id, time(ts) AS a, time(ts, '-90 minutes') AS b, date(ts, 'start of month', 'weekday 1') AS c, datetime(ts, 'start of day', '+36 hours') AS d FROM events",
+                "SELECT event_id, strftime(ts, '%H:%M:%S') AS a, strftime(date_trunc('millisecond', ts) - INTERVAL 90 MINUTE, '%H:%M:%S') AS b, strftime(date_trunc('month', ts) + to_days(CAST((8 - dayofweek(date_trunc('month', ts))) % 7 AS INTEGER)), '%Y-%m-%d') AS c, strftime(date_trunc('day', ts) + INTERVAL 36 HOUR, '%Y-%m-%d %H:%M:%S') AS d FROM events"),
+    "fn_time_parse": (
+        "SELECT o_orderkey, datetime(date(o_orderdate) || 'T01:02+03:00') AS a, datetime(date(o_orderdate) || ' 23:59:59.5Z', 'subsec') AS b, time('12:34', 'noon') AS c, unixepoch(date(o_orderdate), 'subsecond') AS d, date(date(o_orderdate) || 'x') AS e FROM orders",
+        "SELECT o_orderkey, strftime(date_trunc('day', o_orderdate) - INTERVAL 118 MINUTE, '%Y-%m-%d %H:%M:%S') AS a, strftime(o_orderdate, '%Y-%m-%d') || ' 23:59:59.500' AS b, CAST(NULL AS VARCHAR) AS c, CAST(epoch(date_trunc('day', o_orderdate)) AS DOUBLE) AS d, CAST(NULL AS VARCHAR) AS e FROM orders"),
+    "fn_time_numbers": (
+        "SELECT event_id, datetime(event_id + 1000000000, 'auto') AS a, date(2450000.5 + event_id % 1000, 'auto') AS b, date(2450000.5 + event_id % 1000) AS c, date('2450000.5', 'julianday') AS d, date('2024-01-31', '+1 month', 'floor') AS e, date('2024-01-31', '+1 month', 'ceiling') AS f FROM events",
+        "SELECT event_id, strftime(make_timestamp((event_id + 1000000000) * 1000000), '%Y-%m-%d %H:%M:%S') AS a, strftime(DATE '1995-10-10' + CAST(event_id % 1000 AS INTEGER), '%Y-%m-%d') AS b, strftime(DATE '1995-10-10' + CAST(event_id % 1000 AS INTEGER), '%Y-%m-%d') AS c, '1995-10-10' AS d, '2024-03-02' AS e, '2024-03-02' AS f FROM events"),
+    "fn_weeks": ("SELECT o_orderkey, strftime('%U|%W|%u|%w|%j|%e|%I|%p|%s', o_orderdate) AS w FROM orders",
+                 "SELECT o_orderkey, strftime(o_orderdate, '%U|%W|%u|%w|%j|') || lpad(CAST(day(o_orderdate) AS VARCHAR), 2, ' ') || strftime(o_orderdate, '|%I|%p|') || CAST(CAST(epoch(o_orderdate) AS BIGINT) AS VARCHAR) AS w FROM orders"),
     "fn_printf": ("SELECT c_custkey, printf('%05d|%-12s|%8.2f|%x', c_custkey, c_mktsegment, c_acctbal, c_custkey) AS p FROM customer",
                   "SELECT c_custkey, format('{:05d}|{:<12s}|{:8.2f}|{:x}', c_custkey, c_mktsegment, c_acctbal, c_custkey) AS p FROM customer"),
+    "fn_printf_text": (
+        "SELECT c_custkey, printf('%q|%Q|%w|%c|%%|%z|%.3s|%-6c|', c_name || '''', c_name || '''', c_name || '\"', c_mktsegment, c_name, c_mktsegment, c_name) AS p, printf('%Q %s', NULL, NULL) AS n FROM customer",
+        "SELECT c_custkey, c_name || '''''|''' || c_name || '''''''|' || c_name || '\"\"|' || substr(c_mktsegment, 1, 1) || '|%|' || c_name || '|' || substr(c_mktsegment, 1, 3) || '|' || substr(c_name, 1, 1) || '     |' AS p, 'NULL ' AS n FROM customer"),
+    "fn_printf_number": (
+        "SELECT c_custkey, printf('%r|%e|%.3E|%g|%p|%#x|%o|%+d|%u', c_custkey, c_acctbal, c_acctbal, c_custkey, c_custkey, c_custkey + 1, c_custkey, c_custkey, c_custkey) AS p FROM customer",
+        "SELECT c_custkey, c_custkey || CASE WHEN c_custkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN c_custkey % 10 = 1 THEN 'st' WHEN c_custkey % 10 = 2 THEN 'nd' WHEN c_custkey % 10 = 3 THEN 'rd' ELSE 'th' END || '|' || format('{:.6e}|{:.3E}|{:g}|{:X}|{:#x}|{:o}|{:+d}|{}', c_acctbal, c_acctbal, CAST(c_custkey AS DOUBLE), c_custkey, c_custkey + 1, c_custkey, c_custkey, c_custkey) AS p FROM customer"),
+    # columns of reals that hold nulls
+    "real_nulls": (
+        "SELECT c_custkey, quote(r) AS q, hex(r) AS h, coalesce(r, 'none') AS c, ifnull(r, 'x') AS i, json_array(r, 1) AS j, json_object('v', r) AS o, r || '!' AS t, concat(r, '/', c_custkey) AS n, concat_ws('-', r, 'z') AS w, printf('%s', r) AS p, trim(r) AS m, max(r, 'a') AS g, length(r) AS l "
+        "FROM customer LEFT JOIN (SELECT s_suppkey AS k, s_acctbal AS r FROM supplier) s ON c_custkey = k",
+        "SELECT c_custkey, coalesce(v, 'NULL') AS q, coalesce(hex(v), '') AS h, coalesce(v, 'none') AS c, coalesce(v, 'x') AS i, '[' || coalesce(v, 'null') || ',1]' AS j, '{\"v\":' || coalesce(v, 'null') || '}' AS o, v || '!' AS t, concat(v, '/', c_custkey) AS n, concat_ws('-', v, 'z') AS w, v AS p, v AS m, CASE WHEN v IS NOT NULL THEN 'a' END AS g, length(v) AS l "
+        "FROM (SELECT c_custkey, CAST(s_acctbal AS VARCHAR) AS v FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey)"),
+    "real_nulls_concat": (
+        "SELECT c_nationkey, group_concat(r, ';') AS g, count(r) AS n FROM (SELECT c_custkey, c_nationkey, s_acctbal AS r FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey ORDER BY c_custkey) GROUP BY c_nationkey HAVING count(r) < 2",
+        "SELECT c_nationkey, string_agg(CAST(s_acctbal AS VARCHAR), ';') AS g, count(s_acctbal) AS n FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey GROUP BY c_nationkey HAVING count(s_acctbal) < 2"),
     "fn_json": ("SELECT c_custkey, json_array(c_custkey, c_mktsegment, NULL) AS a, json_object('k', c_custkey, 's', c_mktsegment) AS o, json_quote(c_name) AS q FROM customer",
                 "SELECT c_custkey, '[' || c_custkey || ',\"' || c_mktsegment || '\",null]' AS a, '{\"k\":' || c_custkey || ',\"s\":\"' || c_mktsegment || '\"}' AS o, '\"' || c_name || '\"' AS q FROM customer"),
     "fn_real_text": ("SELECT c_custkey, c_acctbal || '' AS t, (c_custkey * 1.0) || '' AS u FROM customer", "SELECT c_custkey, CAST(c_acctbal AS VARCHAR) AS t, CAST(c_custkey * 1.0::DOUBLE AS VARCHAR) AS u FROM customer"),
@@ -195,6 +249,15 @@ SCRIPTS: dict[str, tuple[str, str | None]] = {
     "tx_rollback": (
         "CREATE TABLE t(k INTEGER PRIMARY KEY); INSERT INTO t SELECT n_nationkey FROM nation; BEGIN; DELETE FROM t; ROLLBACK; SAVEPOINT a; DELETE FROM t WHERE k > 5; ROLLBACK TO a; SELECT count(*) AS n FROM t",
         "SELECT count(*) AS n FROM nation"),
+    "session_counters": (
+        "CREATE TABLE t(k INTEGER PRIMARY KEY, s TEXT); INSERT INTO t SELECT n_nationkey + 1, n_name FROM nation; INSERT INTO t(s) VALUES ('one'), ('two'); UPDATE t SET s = lower(s) WHERE k <= 10; SELECT changes() AS c, total_changes() AS t, last_insert_rowid() AS l, (SELECT count(*) FROM t) AS n",
+        "SELECT 10 AS c, count(*) + 12 AS t, max(n_nationkey) + 3 AS l, count(*) + 2 AS n FROM nation"),
+    "dml_columns": (
+        "CREATE TABLE t(a INTEGER PRIMARY KEY, b TEXT, c REAL); INSERT INTO t(c, b) SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey; SELECT a, b, c FROM t",
+        "SELECT row_number() OVER (ORDER BY n_nationkey) AS a, n_name AS b, CAST(n_nationkey AS DOUBLE) AS c FROM nation"),
+    "dml_update_in": (
+        "CREATE TABLE t(k INTEGER PRIMARY KEY, s TEXT); INSERT INTO t SELECT c_custkey, c_name FROM customer; UPDATE t SET s = 'ordered' WHERE k IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000); SELECT * FROM t",
+        "SELECT c_custkey AS k, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) THEN 'ordered' ELSE c_name END AS s FROM customer"),
     "pragma_user_version": ("PRAGMA user_version = 42; PRAGMA user_version", "SELECT 42 AS user_version"),
     "catalog_tables": ("CREATE TABLE zz(a); SELECT name, tbl_name FROM sqlite_schema WHERE name = 'zz'", "SELECT 'zz' AS name, 'zz' AS tbl_name"),
     "with_dml": (

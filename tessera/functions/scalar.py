@@ -53,7 +53,7 @@ fn("octet_length", 1)(lambda a: E(f"CAST(octet_length({a[0].sql if a[0].cls == '
 
 @fn("substr substring", 2, 3)
 def _substr(a):
-    n = integer(a[2]) if len(a) > 2 else "2147483647L"
+    n = integer(a[2]) if len(a) > 2 else "4294967296L"
     if a[0].cls == "blob":
         s = f"decode({a[0].sql}, 'ISO-8859-1')"
         return E(f"encode(d_substr({s}, {integer(a[1])}, {n}), 'ISO-8859-1')", "blob")
@@ -199,9 +199,16 @@ def _round(a):
     if len(a) < 2:
         return E(whole, "real")
     if a[1].literal:
-        n = a[1].value
-        return E(whole if float(n) <= 0 else f"d_round({x}, {int(n)})", "real")
-    return E(f"if({integer(a[1])} <= 0L, {whole}, d_round({x}, CAST(least(30L, greatest(0L, {integer(a[1])})) AS INT)))", "real")
+        n = core.number(a[1]).value
+        if n <= 0:
+            return E(whole, "real")
+        if n <= 15:
+            # exact in the JVM while the scaled value is under 2**51; the rest is decided in decimal
+            m = f"{float(10 ** int(n))!r}D"
+            small = f"abs({x}) * {m} < 2251799813685248D"
+            return E(f"if({small}, if({x} < 0D, -d_scaled(abs({x}), {m}), d_scaled(abs({x}), {m})), d_round(if({small}, CAST(NULL AS DOUBLE), {x}), {int(n)}))", "real")
+        return E(f"d_round({x}, {int(min(n, 50))})", "real")
+    return E(f"if({integer(a[1])} <= 0L, {whole}, d_round({x}, CAST(least(50L, greatest(0L, {integer(a[1])})) AS INT)))", "real")
 
 
 fn("pi", 0)(lambda a: E("pi()", "real"))

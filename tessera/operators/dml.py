@@ -197,7 +197,7 @@ def update(session, s: n.Update) -> DataFrame:
         if c not in names:
             raise NoSuchColumn(c)
         new[c] = value(p.expr(e, scope))
-    hit = f"coalesce({truthy(p.expr(s.where, scope))}, false)" if s.where is not None else "true"
+    hit = f"coalesce({truthy(p.expr(s.where, scope, None, True))}, false)" if s.where is not None else "true"
     classes, cells = [], []
     for c in t.columns:
         k = joined([c.cls, new[c.name].cls]) if c.name in new else c.cls
@@ -230,7 +230,7 @@ def delete(session, s: n.Delete) -> DataFrame:
     _frame(session, t)
     p, ctes = _ctes(session, s.ctes)
     scope = _scope(t, "u", ctes)
-    hit = f"coalesce({truthy(p.expr(s.where, scope))}, false)" if s.where is not None else "true"
+    hit = f"coalesce({truthy(p.expr(s.where, scope, None, True))}, false)" if s.where is not None else "true"
     rows = snapshot(session.spark.sql(f"SELECT u.*, {hit} AS _hit FROM {t.view} AS u"), "deleted")
     gone = rows.where("_hit").drop("_hit")
     _store(session, t, rows.where("NOT _hit").drop("_hit"), [c.cls for c in t.columns])
