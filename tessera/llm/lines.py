@@ -94,20 +94,17 @@ def prefix_lengths(levels: list[DataFrame]) -> DataFrame:
     Ranks that two neighbours have in common tell the largest power of two of
     lines that they share; what is left is told by the suffixes that follow
     these lines, and so on: half of the pairs or more are done in each round."""
-    spark = levels[0].sparkSession
     every = levels[0].where("times = 1")
     for x in levels[1:]:
         every = every.unionAll(x.where("times = 1"))
     part, row = F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")
     every = staged(every.select("doc", "seq", "path").orderBy("path").select("doc", "seq", "path", part, row), "op5-array")
-    # a row for each partition of the sort: the places before it
-    sizes = sorted((r["part"], r["count"]) for r in every.groupBy("part").count().collect())
-    base, bases = 0, []
-    for p, n in sizes:
-        bases.append((p, base))
-        base += n
-    offsets = F.broadcast(spark.createDataFrame(bases or [(0, 0)], "p int, base long"))
-    at = every.join(offsets, every["part"] == offsets["p"]).select("doc", "seq", "path", (F.col("base") + F.col("row").bitwiseAND((1 << 33) - 1)).alias("at"))
+    # a number for each partition of the sort: the places before it
+    sizes = {r["part"]: r["count"] for r in every.groupBy("part").count().collect()}
+    bases = [0]
+    for p in range(max(sizes, default=0)):
+        bases.append(bases[-1] + sizes.get(p, 0))
+    at = every.select("doc", "seq", "path", (F.get(F.lit(bases), "part") + F.col("row").bitwiseAND((1 << 33) - 1)).alias("at"))
     same = F.size(F.filter(F.zip_with("path", "path2", lambda x, y: x == y), lambda x: x))
     after = at.select(F.col("doc").alias("doc2"), F.col("seq").alias("seq2"), F.col("path").alias("path2"), (F.col("at") - 1).alias("before"))
     now = at.join(after, at["at"] == after["before"]).withColumn("m", same).where("m > 0").withColumn("lcp", F.lit(0))

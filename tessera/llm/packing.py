@@ -5,19 +5,22 @@ how many pieces there are of each length: at most ``capacity`` numbers, however
 large the corpus. From these the driver runs the global best-fit decreasing on
 groups of equal bins; a segment tree over remaining capacities finds the
 tightest open bin in logarithmic time. The result is a list of bin patterns.
-Pieces then find their place by their rank among those of equal length, which
-is counted by partition, so no length is gathered in one task.
+Pieces then find their place by their rank among those of equal length: counted
+in slices, summed over slices in groups and over groups, so no length is
+gathered in one task; a binary search among the length's bins gives the place.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from .common import shuffle_partitions, staged
 from .tokens import batched, encoder, vocabulary
@@ -26,6 +29,9 @@ CAPACITY = 2048
 END = 0
 #: Pieces of one length that a slice holds at most, on average.
 SLICE = 1 << 18
+#: Slices in a group of the prefix sum; bits of a rank.
+GROUP = 256
+RANKS = 50
 
 
 class Capacities:
@@ -103,6 +109,34 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tup
     return sorted(merged.items())
 
 
+def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
+    """``length, first, n, base, offset`` by length and first: pieces of a length
+    from rank ``first`` on go to ``n`` sequences from ``base`` on, in turn, at
+    ``offset`` and then after each other.
+
+    Packing a length leaves two more groups of equal bins than before at most,
+    and a bin of 2,048 holds 63 different lengths at most: so 4,096 groups and
+    258,048 slots (10 MB) are the bound, whatever the corpus holds."""
+    out, base, seen = [], 0, {}
+    for pattern, n in patterns:
+        offset = 0
+        for length, same in groupby(pattern):
+            k, first = len(list(same)), seen.get(length, 0)
+            out.append((length, first, n, base, offset))
+            seen[length] = first + n * k
+            offset += k * length
+        base += n
+    return np.array(sorted(out) or [(0, 0, 1, 0, 0)], np.int64)
+
+
+def _before(*keys: str) -> WindowSpec:
+    return Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _schema(with_ids: bool) -> str:
+    return "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+
+
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocab: str | None = None, with_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids``."""
     vocab = vocab or vocabulary()
@@ -130,8 +164,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                     cut.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=cut)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _schema(with_ids))
 
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocab: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -139,7 +172,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     offset`` (and ``ids``).
 
     A document is its ids and a closing 0; null and empty texts are the 0 alone.
-    Documents longer than ``capacity`` are cut into pieces of that length, the
+    Ids have to be integers (or null). Documents longer than ``capacity`` are cut into pieces of that length, the
     first of which may be shorter; no piece is dropped. Pieces of one length are
     alike to the packing, so ties, repeated rows and null ids change nothing.
     An empty table gives no rows.
@@ -152,27 +185,28 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     cells = parts.select("_row", "length", part.alias("_slice"))
     counts = staged(cells.groupBy("length", "_slice").agg(F.count("*").alias("n")), "op4-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    slots, base = [], 0
-    seen: dict[int, int] = {}
-    for pattern, n in best_fit(histogram, capacity):
-        offset = 0
-        for length in pattern:
-            first = seen.get(length, 0)
-            slots.append((length, first, base, offset))
-            seen[length] = first + n
-            offset += length
-        base += n
-    before = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col("length").alias("cl"), F.col("_slice").alias("cs"), "before")
+    slots = _slots(best_fit(histogram, capacity))
+    counts = counts.withColumn("_group", F.floor(F.col("_slice") / GROUP))
+    of_groups = counts.groupBy(F.col("length").alias("gl"), F.col("_group").alias("gg")).agg(F.sum("n").alias("gn"))
+    of_groups = of_groups.withColumn("earlier", F.coalesce(F.sum("gn").over(_before("gl").orderBy("gg")), F.lit(0)))
+    inside = counts.withColumn("_in", F.coalesce(F.sum("n").over(_before("length", "_group").orderBy("_slice")), F.lit(0)))
+    counts = inside.join(of_groups, (inside["length"] == of_groups["gl"]) & (inside["_group"] == of_groups["gg"])).select(
+        F.col("length").alias("cl"), F.col("_slice").alias("cs"), (F.col("_in") + F.col("earlier")).alias("before"))
     inner = Window.partitionBy("length", "_slice").orderBy("_row")
     ranked = parts.withColumn("_slice", part).withColumn("_at", F.row_number().over(inner) - 1)
-    ranked = ranked.join(counts, (ranked["length"] == counts["cl"]) & (ranked["_slice"] == counts["cs"])).withColumn("_rank", F.col("_at") + F.col("before"))
-    # patterns are bounded by the lengths, not by the corpus: each length has a
-    # short sorted list of (first rank, first sequence, offset)
-    table = spark.createDataFrame(slots or [(0, 0, 0, 0)], "sl long, first long, base long, offset long")
-    table = table.groupBy("sl").agg(F.sort_array(F.collect_list(F.struct("first", "base", "offset"))).alias("slots"))
-    out = ranked.join(F.broadcast(table), ranked["length"] == table["sl"])
-    out = out.withColumn("_slot", F.element_at(F.filter("slots", lambda s: s["first"] <= F.col("_rank")), -1))
-    return out.select(
-        "doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []),
-        (F.col("_slot")["base"] + F.col("_rank") - F.col("_slot")["first"]).alias("sequence_id"), F.col("_slot")["offset"].alias("offset"))
+    ranked = ranked.join(counts, (ranked["length"] == counts["cl"]) & (ranked["_slice"] == counts["cs"]))
+    shown = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    ranked = ranked.select(*shown, (F.col("_at") + F.col("before")).alias("_rank"))
+    table = spark.sparkContext.broadcast(slots)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths, first, n, base, offset = table.value.T
+        keys = lengths << RANKS | first
+        for b in batches:
+            length, rank = (b.column(k).to_numpy(zero_copy_only=False) for k in (3, len(shown)))
+            at = np.searchsorted(keys, length << RANKS | rank, "right") - 1
+            ahead = rank - first[at]
+            put = [pa.array(base[at] + ahead % n[at]), pa.array(offset[at] + ahead // n[at] * length)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *put], names=[*shown, "sequence_id", "offset"])
+
+    return ranked.mapInArrow(place, f"{_schema(with_ids)}, sequence_id long, offset long")

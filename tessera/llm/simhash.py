@@ -39,27 +39,107 @@ SEGMENTS = 16
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _FLIPS = np.array([1 << i for i in range(64)] + [(1 << i) | (1 << j) for i, j in combinations(range(64), 2)], np.uint64)
 _LIMIT = 1 << 16
+#: Words that are hashed together.
+_WORDS = 1 << 14
+
+
+# Fixed values of XXH64: its five primes.
+_P1, _P2, _P3 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_P4, _P5 = np.uint64(0x85EBCA77C2B2AE63), np.uint64(0x27D4EB2F165667C5)
+_ONES = np.uint64(0x0101010101010101)
+
+
+def _turned(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def hashed_spans(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """XXH64 of ``data[s:e]`` for each span. Spans of under 32 bytes, as nearly
+    all are, advance together by eight, four and one bytes; others are hashed
+    one by one."""
+    words = np.frombuffer(data + bytes(16 - len(data) % 8), "<u8")
+    size = (ends - starts).astype(np.int64)
+
+    def lane(at: np.ndarray) -> np.ndarray:
+        """The eight bytes from each place on."""
+        near, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        return (words[near] >> shift) | ((words[near + 1] << (np.uint64(63) - shift)) << np.uint64(1))
+
+    h = np.uint64(seed) + _P5 + size.astype(np.uint64)
+    at, left = starts.astype(np.int64), np.where(size < 32, size, 0)
+    while (go := np.flatnonzero(left >= 8)).size:
+        h[go] = _turned(h[go] ^ (_turned(lane(at[go]) * _P2, 31) * _P1), 27) * _P1 + _P4
+        at[go] += 8
+        left[go] -= 8
+    go = np.flatnonzero(left >= 4)
+    h[go] = _turned(h[go] ^ ((lane(at[go]) & np.uint64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3
+    at[go] += 4
+    left[go] -= 4
+    while (go := np.flatnonzero(left > 0)).size:
+        h[go] = _turned(h[go] ^ ((lane(at[go]) & np.uint64(255)) * _P5), 11) * _P1
+        at[go] += 1
+        left[go] -= 1
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    h ^= h >> np.uint64(32)
+    long = np.flatnonzero(size >= 32)
+    if long.size:
+        pairs = zip(starts[long].tolist(), ends[long].tolist(), strict=True)
+        h[long] = np.array([xxhash.xxh64_intdigest(data[s:e], seed) for s, e in pairs], np.uint64)
+    return h
+
+
+def _bit_counts(h: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """How many hashes of each group (from ``firsts`` on) have each bit: eight
+    bits are counted in the bytes of one number, over 255 hashes at most."""
+    sizes = np.diff(np.append(firsts, len(h)))
+    parts = -(-sizes // 255)
+    cuts = np.repeat(firsts - 255 * (np.cumsum(parts) - parts), parts) + 255 * np.arange(parts.sum())
+    counts = np.empty((len(cuts), 8, 8), np.int64)
+    for k in range(8):
+        counts[:, :, k] = np.add.reduceat((h >> np.uint64(k)) & _ONES, cuts).view(np.uint8).reshape(-1, 8)
+    return np.add.reduceat(counts.reshape(-1, 64), np.cumsum(parts) - parts)
+
+
+def fingerprints_of(texts: list[str | None]) -> np.ndarray:
+    """The SimHash of each text. Texts are hashed together up to a number of
+    words; a longer one in runs of so many that overlap by a shingle less a word."""
+    out, held, size = np.zeros((len(texts), 64), np.int64), [], 0
+    total = np.zeros(len(texts), np.int64)
+
+    def settle() -> None:
+        nonlocal held, size
+        if not held:
+            return
+        words = [w for _, run in held for w in run]
+        data = b" ".join(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths + 1) - 1
+        n = np.array([len(run) for _, run in held])
+        shingles = np.maximum(1, n - SHINGLE + 1)
+        firsts = np.cumsum(shingles) - shingles
+        # the word that each shingle opens with, and the one that it closes with
+        opens = np.repeat(np.cumsum(n) - n - firsts, shingles) + np.arange(shingles.sum())
+        h = hashed_spans(data, (ends - lengths)[opens], ends[opens + np.repeat(np.minimum(n, SHINGLE) - 1, shingles)])
+        rows = np.array([r for r, _ in held])
+        np.add.at(out, rows, _bit_counts(h, firsts))
+        np.add.at(total, rows, shingles)
+        held, size = [], 0
+
+    for row, text in enumerate(texts):
+        words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+        for at in range(0, max(1, len(words) - SHINGLE + 1) if words else 0, _WORDS):
+            held.append((row, words[at : at + _WORDS + SHINGLE - 1]))
+            size += len(held[-1][1])
+            if size >= _WORDS:
+                settle()
+    settle()
+    return np.packbits(2 * out > total[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def fingerprint(text: str | None) -> int:
-    """The SimHash of one text, its shingles in blocks of bounded size."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return 0
-    data = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    if len(words) > SHINGLE:
-        starts, ends = starts[: len(words) - SHINGLE + 1], ends[SHINGLE - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    n, digest, counts = len(starts), xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, n, _LIMIT):
-        cut = zip(starts[at : at + _LIMIT].tolist(), ends[at : at + _LIMIT].tolist(), strict=True)
-        h = np.array([digest(data[s:e], SEED) for s, e in cut], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * counts > n, bitorder="little")
-    return int(bits.view(np.uint64)[0])
+    """The SimHash of one text."""
+    return int(fingerprints_of([text])[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,7 +147,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64)
+            fp = fingerprints_of(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -243,7 +323,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                fp = np.array([fingerprint(t.as_py()) for t in b.column(place)], np.uint64)
+                fp = fingerprints_of(b.column(place).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*b.schema.names, "_fp"])
 
         rows = staged(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])), "op6-rows")
