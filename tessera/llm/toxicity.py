@@ -1,7 +1,8 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are whole words and word beginnings of 4 to 6 bytes, A-Z lower-cased,
-hashed to ``BITS`` bits. Besides a weight for each term the machine learns a
+Terms are whole words, word beginnings of 4 to 7 bytes, and beginnings that a
+document has in several different words (a stem in several forms says more than
+one that occurs by chance), all lower-cased and hashed to ``BITS`` bits. Besides a weight for each term the machine learns a
 vector, and the products of the vectors of terms that occur together; so it can
 tell an insult that meets a mention of a group from either alone, which a sum
 of weights can't.
@@ -13,6 +14,7 @@ that sample. Scoring reads every whole text, in one pass without a shuffle.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,76 +23,96 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import dropped, staged
 from .wordhash import BYTE_BASE, MASK, PIECE, U, grouped, mix, pieces, powers, spans
 
 #: The documented bound of the sample that is fitted.
 SAMPLE = 16_000
 BITS = 20
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
+#: Beginnings of which the number of different words counts.
+STEMS = (5, 6, 7)
+#: Documented bounds of the terms that are fitted: their number, the documents
+#: that a term is in, and its G statistic (a chance of half a percent).
 TERMS = 4096
+LEAST = 2
+STATISTIC = 8.0
 FACTORS = 8
 EPOCHS = 30
 THRESHOLD = 0.3
-_TABLE = np.arange(256, dtype=np.uint8)
-_TABLE[65:91] += 32
 _EDGES = np.zeros(256, bool)
 _EDGES[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
-def _terms(data: bytes, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed terms of one buffer and the byte where each one's word starts;
-    with ``mask`` only those that it holds. ASCII punctuation is cut off words."""
-    data = data.translate(_TABLE.tobytes())
+def _several(beginning: np.ndarray) -> np.ndarray:
+    """The term that a beginning is in several words; one to one."""
+    return (beginning * 0x9E375 + 0x3C6EF) & ((1 << BITS) - 1)
+
+
+def _terms(data: bytes, mask: np.ndarray | None, stems: np.ndarray | None) -> tuple[list, list]:
+    """Hashed terms of one buffer with the byte where each one's word starts,
+    and beginnings with that byte and the whole word's hash; with ``mask`` and
+    ``stems`` only those that they hold. ASCII punctuation is cut off words."""
     a, s, e = spans(data)
     for _ in range(3):
         s = s + (_EDGES[a[np.minimum(s, len(a) - 1)]] & (s < e)) if len(s) else s
         e = e - (_EDGES[a[np.maximum(e - 1, 0)]] & (s < e)) if len(e) else e
     ok = s < e
     s, e = s[ok], e[ok]
+    out, forms = [], []
     if not len(s):
-        return np.empty(0, np.int64), s
+        return out, forms
     p, inv = powers(BYTE_BASE[0], len(a) + 1)
     total = np.zeros(len(a) + 1, U)
     np.cumsum((a.astype(U) + U(1)) * p[: len(a)], out=total[1:])
-    out, at = [], []
+    word = mix((total[e] - total[s]) * inv[s] + U(0x632BE59BD9B4E019))
     for kind, size in enumerate((0, *PREFIXES)):
         if size:
-            long = e - s > size
-            ss, ee = s[long], s[long] + size
+            long = np.flatnonzero(e - s > size)
+            ss = s[long]
+            h = mix((total[ss + size] - total[ss]) * inv[ss] + U((1 + kind) * 0x632BE59BD9B4E019 & MASK))
         else:
-            ss, ee = s, e
-        h = mix((total[ee] - total[ss]) * inv[ss] + U((1 + kind) * 0x632BE59BD9B4E019 & MASK))
+            ss, h = s, word
         h = (h >> U(64 - BITS)).astype(np.int64)
+        if size in STEMS:
+            keep = np.flatnonzero(stems[h]) if stems is not None else slice(None)
+            forms.append((h[keep], ss[keep], word[long[keep]]))
         if mask is not None:
             keep = mask[h]
             h, ss = h[keep], ss[keep]
-        out.append(h)
-        at.append(ss)
-    return np.concatenate(out), np.concatenate(at)
+        out.append((h, ss))
+    return out, forms
 
 
-def hashed_terms(texts: list[bytes], mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def hashed_terms(texts: list[bytes], mask: np.ndarray | None = None, stems: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """``rows, terms``: the distinct terms of each text, by row then term."""
-    rows, terms = [], []
+    rows, terms, forms = [], [], []
     for group, parts in grouped(texts):
-        if len(parts) == 1 and len(parts[0]) > PIECE:
-            for piece in pieces(parts[0]):
-                h, _ = _terms(piece, mask)
+        ids = np.asarray(group, np.int64)
+        for data in pieces(parts[0]) if len(parts) == 1 else [b" ".join(parts)]:
+            ends = np.cumsum([len(p) + 1 for p in parts]) if len(parts) > 1 else np.array([len(data) + 1])
+            found, several = _terms(data, mask, stems)
+            for h, at in found:
+                rows.append(ids[np.searchsorted(ends, at, "right")])
                 terms.append(h)
-                rows.append(np.full(len(h), group[0], np.int64))
-            continue
-        h, at = _terms(b" ".join(parts), mask)
-        ends = np.cumsum([len(p) + 1 for p in parts])
-        rows.append(np.asarray(group, np.int64)[np.searchsorted(ends, at, "right")])
-        terms.append(h)
+            forms += [(ids[np.searchsorted(ends, at, "right")], h, word) for h, at, word in several]
     if not rows:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    key = np.unique((np.concatenate(rows) << BITS) | np.concatenate(terms))
+    key = [(np.concatenate(rows) << BITS) | np.concatenate(terms)]
+    if forms:
+        row, stem, word = (np.concatenate(x) for x in zip(*forms, strict=True))
+        stem = (row << BITS) | stem
+        order = np.lexsort((word, stem))
+        stem, word = stem[order], word[order]
+        other = (stem[1:] == stem[:-1]) & (word[1:] != word[:-1])
+        stem = np.unique(stem[1:][other])
+        key.append((stem >> BITS << BITS) | _several(stem & ((1 << BITS) - 1)))
+    key = np.unique(np.concatenate(key))
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
 def _bytes(text) -> bytes:
-    return text.encode("utf-8", "surrogatepass") if text else b""
+    return text.lower().encode("utf-8", "surrogatepass") if text else b""
 
 
 class Machine:
@@ -100,6 +122,7 @@ class Machine:
         self.bias, self.w, self.v = bias, w, v
         self.mask = np.zeros(1 << BITS, bool)
         self.mask[terms] = True
+        self.stems = self.mask[_several(np.arange(1 << BITS))]
         self.place = np.zeros(1 << BITS, np.int32)
         self.place[terms] = np.arange(len(terms))
 
@@ -110,42 +133,34 @@ class Machine:
         return self.bias + linear + 0.5 * ((sums**2).sum(1) - squares), sums
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        rows, terms = hashed_terms(texts, self.mask)
+        rows, terms = hashed_terms(texts, self.mask, self.stems)
         raw, _ = self.raw(len(texts), rows, self.place[terms])
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
-def chosen_terms(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, most: int = TERMS) -> np.ndarray:
-    """The terms whose presence tells the labels apart most (G statistic of
-    the two-by-two table, smoothed), among those in three documents or more."""
-    n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
-    toxic, c1, both = y > 0, np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for at in range(0, len(terms), PIECE):  # in pieces: the sample's terms are many times its documents
-        part = terms[at : at + PIECE]
-        both += np.bincount(part, minlength=1 << BITS)
-        c1 += np.bincount(part[toxic[rows[at : at + PIECE]]], minlength=1 << BITS)
-    c0 = both - c1
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = sum(np.where(c > 0, c * np.log(c / np.maximum(1e-9, both * n / (n1 + n0))), 0) for c, n in ((c1, n1), (c0, n0)))
-        rest1, rest0 = n1 - c1, n0 - c0
-        rest = rest1 + rest0
-        g += sum(np.where(c > 0, c * np.log(np.maximum(1e-12, c) / np.maximum(1e-9, rest * n / (n1 + n0))), 0) for c, n in ((rest1, n1), (rest0, n0)))
-    g[both < 3] = 0
-    order = np.argsort(-g, kind="stable")[:most]
-    return np.sort(order[g[order] > 6.0])
-
-
-def fitted(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, seed: int = 7) -> Machine:
-    """The machine for a sample (row, term) with labels ``y``; deterministic."""
+def chosen_terms(sample: DataFrame, toxic: int, clean: int) -> DataFrame:
+    """``term``: those whose presence tells the labels of ``sample`` (y, terms)
+    apart, by the G statistic of the two-by-two table: at least ``STATISTIC``, in
+    ``LEAST`` documents or more, and the first ``TERMS`` of these (the smaller
+    term of equals). Counted and chosen on executors."""
+    n1, n0 = max(1, toxic), max(1, clean)
+    held = sample.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("n"), F.sum("y").cast("double").alias("c1"))
+    n, c1 = F.col("n"), F.col("c1")
+    part = lambda c, among, size: F.when(c > 0, c * F.log(c * (n1 + n0) / (among * size))).otherwise(0.0)
+    g = part(c1, n, n1) + part(n - c1, n, n0) + part(n1 - c1, n1 + n0 - n, n1) + part(n0 - (n - c1), n1 + n0 - n, n0)
+    return held.where(n >= LEAST).withColumn("g", 2 * g).where(F.col("g") >= STATISTIC).orderBy(F.col("g").desc(), "term").limit(TERMS).select("term")
+
+
+def fitted(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, keep: np.ndarray, seed: int = 7) -> Machine:
+    """The machine for a sample (row, term, by row) with labels ``y`` over the
+    terms ``keep`` (sorted); deterministic."""
     y = y.astype(np.float64)
-    keep = chosen_terms(rows, terms, y)
     rate = (y.sum() + 0.5) / (len(y) + 1.0)
     rng = np.random.default_rng(seed)
     m = Machine(float(np.log(rate / (1 - rate))), keep, np.zeros(len(keep)), rng.normal(0, 0.01, (len(keep), FACTORS)))
     if not len(keep):
         return m
-    ok = m.mask[terms]
-    rows, cols = rows[ok], m.place[terms[ok]].astype(np.int64)
+    cols = m.place[terms].astype(np.int64)
     starts = np.searchsorted(rows, np.arange(len(y) + 1))
     seen_w, seen_v, seen_b = np.full(len(keep), 1e-6), np.full(m.v.shape, 1e-6), 1e-6
     for epoch in range(EPOCHS):
@@ -181,7 +196,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit to at most ``sample`` labelled documents that aren't held out.
 
     Rows without an id or a label are left out; an id with several labels has
-    the largest. Without any label the machine knows only the bias, and every
+    the largest, one with several texts gives one of them (always the same). Ids
+    have to be integers. Without any label the machine knows only the bias, and every
     score is the smoothed rate.
     """
     spark = docs.sparkSession
@@ -198,15 +214,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             at[at == len(ids)] = 0
             hit = np.flatnonzero(ids[at] == own) if len(ids) else []
             for i in hit:
-                _, terms = hashed_terms([_bytes(b.column(1)[int(i)].as_py())])
-                yield pa.RecordBatch.from_arrays([pa.array([own[i]], pa.int64()), pa.array([terms.astype(np.int32)], pa.list_(pa.int32()))], names=["doc", "terms"])
+                text = _bytes(b.column(1)[int(i)].as_py())
+                _, terms = hashed_terms([text])
+                arrays = [pa.array([own[i]], pa.int64()), pa.array([zlib.crc32(text)], pa.int64()), pa.array([terms.astype(np.int32)], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "mark", "terms"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL")
-    got = texts.mapInArrow(run, "doc long, terms array<int>").dropDuplicates(["doc"]).toArrow().sort_by("doc")
-    y = np.array([picked[d] > 0 for d in got.column("doc").to_pylist()], np.float64)
-    terms = got.column("terms").combine_chunks()
-    sizes = np.diff(terms.offsets.to_numpy()) if len(terms) else np.empty(0, np.int64)
-    return fitted(np.repeat(np.arange(len(y), dtype=np.int32), sizes), terms.flatten().to_numpy(zero_copy_only=False), y)
+    got = texts.mapInArrow(run, "doc long, mark long, terms array<int>").groupBy("doc").agg(F.min_by("terms", F.struct("mark", "terms")).alias("terms"))
+    marked = spark.createDataFrame(sorted(picked.items()) or [(0, 0)], "id long, y int")
+    got = staged(got.join(F.broadcast(marked), got["doc"] == marked["id"]).select("doc", (F.col("y") > 0).cast("int").alias("y"), "terms"), "op7-sample")
+    labelled = got.select("doc", "y").orderBy("doc").toArrow()  # at most `sample` rows
+    y = labelled.column("y").to_numpy().astype(np.float64)
+    chosen = staged(chosen_terms(got, int(y.sum()), len(y) - int(y.sum())), "op7-terms")
+    keep = np.sort(chosen.toArrow().column("term").to_numpy().astype(np.int64))  # at most TERMS
+    # a document has TERMS of these at most
+    pairs = got.select("doc", F.explode("terms").alias("term")).join(F.broadcast(chosen), "term").select("doc", "term").toArrow()
+    docs_, terms = (pairs.column(k).to_numpy().astype(np.int64) for k in ("doc", "term"))
+    order = np.lexsort((terms, docs_))
+    rows = np.searchsorted(labelled.column("doc").to_numpy(), docs_[order])
+    dropped(got)
+    dropped(chosen)
+    return fitted(rows, terms[order], y, keep)
 
 
 def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
