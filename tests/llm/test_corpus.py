@@ -510,5 +510,25 @@ def test_short_items_are_sought():
         text = draw(rng.randint(0, 20)) + "".join(text) + draw(rng.randint(0, 20))
         want = {(i, e) for i, t in items if (e := edits(t, text)) <= int(0.1 * len(t))}
         assert {(i, e) for i, e, _ in index.found(*decontam._codes(text))} == want
+        sieve = decontam.Sieve(1)
+        sieve.add([x for x in items if x[0] in (9, 30, 39)], 0.1)
+        if want & {(i, e) for i in (9, 30, 39) for e in range(9)}:
+            assert sieve.passes(text)
         hits += sum(e > 0 for _, e in want)
     assert hits > 3
+
+
+def test_items_without_an_id_and_in_long_texts(spark, monkeypatch):
+    rng = random.Random(12)
+    draw = lambda n: "".join(rng.choice("abcdefgh ijkl") for _ in range(n)).strip()
+    items = [(1, draw(60)), (None, draw(30)), (2, draw(90)), (3, "what is the value of " + draw(40)), (4, "what is the value of " + draw(40))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "lead " + items[1][1] + " trail"), (2, draw(70_000) + items[2][1] + draw(300)), (3, "what is the value of " * 4000 + items[4][1]), (4, draw(500)), (5, None)]
+    docs = frame(spark, rows)
+    want = {(1, None, 0), (2, 2, 0), (3, 4, 0)}
+    for block, pairs in ((decontam.BLOCK, decontam.PAIRS), (100, 1000)):
+        monkeypatch.setattr(decontam, "BLOCK", block)
+        monkeypatch.setattr(decontam, "PAIRS", pairs)
+        assert {(r.doc_id, r.item_id, r.edits) for r in decontam.leaks(docs, bench).collect()} == want
+        left = decontam.clean(docs, bench)
+        assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [4, 5]
