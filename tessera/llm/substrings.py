@@ -4,15 +4,19 @@ Every document is cut into non-overlapping blocks of ``block`` words; any
 window of ``window`` >= 2 * block - 1 words contains a whole block of the place
 where it starts. So a window that also starts elsewhere shares an anchor with
 it: the blocks are the index, every rolling run of ``block`` words probes it,
-and only windows over a hit are extended and compared in full. Windows that
-are shared add up to the maximal exact repeats.
+and only windows over a hit are extended and compared. Shared windows that
+follow each other add up to the exact repeats.
 
 Documents are dealt into chunks of bounded size. A chunk sends each distinct
 probe once, packed with the others of a bucket (so a passage in a third of all
 documents is one key from a chunk, never a list of places), and gets back the
-keys that are shared. Both exchanges grow with the text and pair nothing.
-Probes may collide and only pick candidates; windows are compared by 96 bits of
-two independent hashes.
+keys that are shared. Probes may collide and only pick candidates.
+
+Candidate windows meet by the least of their probes, which equal windows have in
+common: a run of windows with one least probe is sent as its words, once from a
+chunk, and the windows of all runs of a probe are compared word for word. A chunk
+gets back a bit for each window that it sent. Both exchanges grow with the text
+and pair nothing.
 """
 
 from __future__ import annotations
@@ -28,180 +32,243 @@ from .common import ambiguous, chunk_count, shuffle_partitions, staged
 from .wordhash import U, hashed_texts, window_hashes
 
 WINDOW = 35
-
-
-def _pack(keys: np.ndarray, width: int) -> bytes:
-    return keys.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def _unpack(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.view(U).ravel()
+#: Bits of a probe, whatever the size of the corpus.
+KEY_BITS = 56
+_SHIFT = U(64 - KEY_BITS)
+#: Candidate windows of a text whose least probes are sought together.
+STEP = 1 << 16
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted distinct keys as the first and the gaps between them, in as many
+    bytes as their mean takes; a gap that takes more is several entries."""
+    if not len(keys):
+        return b""
+    gaps = np.diff(keys)
+    width = 1
+    while width < 7 and 256**width < 4 * (int(keys[-1] - keys[0]) // len(keys) + 1):
+        width += 1
+    most = U(256**width - 1)
+    more = (gaps // most).astype(np.int64)
+    out = np.full(len(gaps) + int(more.sum()), most)
+    out[np.cumsum(more + 1) - 1] = gaps % most
+    return int(keys[0]).to_bytes(8, "little") + bytes([width]) + out.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    if not data:
+        return np.empty(0, U)
+    first, width = U(int.from_bytes(data[:8], "little")), data[8]
+    wide = np.zeros(((len(data) - 9) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    gaps = wide.view(U).ravel()
+    keys = first + np.cumsum(gaps, dtype=U)
+    return np.concatenate(([first], keys[gaps != U(256**width - 1)]))
 
 
 def _texts(pdf: pd.DataFrame) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"]]
 
 
-def _anchor_keys(words: list[np.ndarray], block: int) -> tuple[list[np.ndarray], np.ndarray]:
-    keys = [window_hashes(w, block) for w in words]
-    aligned = [np.arange(len(k)) % block == 0 for k in keys]
-    return keys, (np.concatenate(aligned) if aligned else np.empty(0, bool))
-
-
-def _sent(chunk: int, keys: np.ndarray, flags: np.ndarray, buckets: int, width: int, extra: np.ndarray | None = None) -> pd.DataFrame:
-    """A row for each bucket: distinct keys and their flags (and more bits)."""
-    bucket = ((keys >> U(40)) % U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    rows = []
-    for b in np.flatnonzero(np.diff(cuts)):
-        at = order[cuts[b] : cuts[b + 1]]
-        more = _pack(extra[at], 4) if extra is not None else b""
-        rows.append((int(b), chunk, _pack(keys[at], width), np.packbits(flags[at].T.ravel()).tobytes(), more))
-    return pd.DataFrame(rows, columns=["bucket", "chunk", "keys", "flags", "more"])
-
-
-def _answer(pdf: pd.DataFrame, width: int, kinds: int, wide: bool) -> pd.DataFrame:
-    """For each chunk, which of its keys in this bucket are shared: they occur
-    twice at least and, with two kinds of flags, once at a block's start."""
-    keys = [_unpack(k, width) for k in pdf["keys"]]
-    sizes = np.array([len(k) for k in keys])
-    flags = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=n * kinds).reshape(kinds, n).T for f, n in zip(pdf["flags"], sizes, strict=True)])
-    every = np.concatenate(keys)
-    if wide:
-        low = np.concatenate([_unpack(m, 4) for m in pdf["more"]])
-        order = np.lexsort((low, every))
-        new = np.concatenate(([True], (np.diff(every[order]) != 0) | (np.diff(low[order]) != 0)))
-        inverse = np.empty(len(every), np.int64)
-        inverse[order] = np.cumsum(new) - 1
-    else:
-        inverse = np.unique(every, return_inverse=True)[1]
-    times = np.bincount(inverse, weights=1 + flags[:, 0])
-    good = times >= 2
-    if kinds == 2:
-        good &= np.bincount(inverse, weights=flags[:, 1]) > 0
-    parts = np.split(good[inverse], np.cumsum(sizes)[:-1])
-    # of a wide key the first hash goes back: inside one chunk it is enough
-    out = [(int(c), _pack(k[g], width)) for c, k, g in zip(pdf["chunk"], keys, parts, strict=True) if g.any()]
-    return pd.DataFrame(out, columns=["chunk", "shared"])
+def _bucket(probes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets by range, so that sorted probes are sorted by bucket."""
+    return (((probes >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)
 
 
-def _member(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(keys), bool)
-    at = np.searchsorted(known, keys)
-    at[at == len(known)] = 0
-    return known[at] == keys
+def _cuts(groups: np.ndarray) -> list[tuple[int, int]]:
+    """The runs of equal values."""
+    edge = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1], [True]))) if len(groups) else [0]
+    return list(zip(edge[:-1], edge[1:], strict=True))
 
 
-def _unique(keys: np.ndarray, *flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, where the first of each is, and flags: repeated here, and
-    any of each further flag."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
+def _asked(texts: list[bytes], block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct probes of a chunk; and whether each occurs twice there, and
+    whether once at the start of a block."""
+    keys = [window_hashes(w, block) for w in hashed_texts(texts)]
+    aligned = [np.arange(len(k)) % block == 0 for k in keys]
+    keys, aligned = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((keys, U), (aligned, bool)))
+    order = np.argsort(keys >> _SHIFT, kind="stable")
+    k = keys[order] >> _SHIFT
     new = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
-    count = np.diff(np.append(new, len(k)))
-    cols = [count > 1, *(np.maximum.reduceat(f[order], new) if len(new) else np.empty(0, bool) for f in flags)]
-    return k[new], order[new], np.stack(cols, 1) if len(new) else np.empty((0, 1 + len(flags)), bool)
-
-
-def _wanted(keys: np.ndarray, runs: int, known: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Starts of windows that hold a shared probe among their ``runs`` probes."""
-    hit = np.concatenate(([0], np.cumsum(_member(keys & mask, known))))
-    n = len(keys) - runs + 1
-    return np.flatnonzero(hit[runs:] > hit[:n]) if n > 0 else np.empty(0, np.int64)
+    if not len(new):
+        return k, np.empty((0, 2), bool)
+    return k[new], np.stack((np.diff(np.append(new, len(k))) > 1, np.maximum.reduceat(aligned[order], new)), 1)
 
 
-def _pairs(hashes: list[np.ndarray], starts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([h[s] for h, s in zip(hashes, starts, strict=True)]) if hashes else np.empty(0, U)
+def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each chunk, which of its probes in this bucket occur twice at least,
+    and once at a block's start."""
+    keys = [_unpack(k) for k in pdf["data"]]
+    sizes = np.array([len(k) for k in keys])
+    flags = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=2 * n).reshape(2, n).T for f, n in zip(pdf["flags"], sizes, strict=True)])
+    inverse = np.unique(np.concatenate(keys), return_inverse=True)[1]
+    good = (np.bincount(inverse, weights=1 + flags[:, 0]) >= 2) & (np.bincount(inverse, weights=flags[:, 1]) > 0)
+    parts = np.split(good[inverse], np.cumsum(sizes)[:-1])
+    out = [(int(c), int(b), 0, _pack(k[g])) for c, b, k, g in zip(pdf["chunk"], pdf["bucket"], keys, parts, strict=True) if g.any()]
+    return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "data"])
+
+
+def _runs(texts: list[bytes], known: np.ndarray, block: int, window: int) -> tuple[list[tuple[int, bytes]], dict]:
+    """The distinct runs of candidate windows of a chunk, as (least probe, words
+    joined by one space), sorted; and where each one is: (text, first word)."""
+    found: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+    width = window - block + 1
+    for n, w in enumerate(hashed_texts(texts)):
+        if len(w) < window:
+            continue
+        probes = window_hashes(w, block)
+        at = np.searchsorted(known, probes >> _SHIFT)
+        at[at == len(known)] = 0
+        hit = np.concatenate(([0], np.cumsum(known[at] == probes >> _SHIFT)))
+        starts = np.flatnonzero(hit[width:] > hit[: len(hit) - width])
+        if not len(starts):
+            continue
+        words = texts[n].split()
+        joined, ends = b" ".join(words), np.cumsum([len(x) + 1 for x in words])
+        views = np.lib.stride_tricks.sliding_window_view(probes, width)
+        least = np.concatenate([views[starts[i : i + STEP]].argmin(1) for i in range(0, len(starts), STEP)]) + starts
+        new = np.flatnonzero(np.concatenate(([True], (np.diff(starts) != 1) | (np.diff(least) != 0))))
+        last = np.append(new[1:], len(starts)) - 1
+        begins = np.where(starts[new] > 0, ends[starts[new] - 1], 0)
+        rows = zip(probes[least[new]].tolist(), begins.tolist(), (ends[starts[last] + window - 1] - 1).tolist(), starts[new].tolist(), strict=True)
+        for probe, b, e, first in rows:
+            found.setdefault((probe, joined[b:e]), []).append((n, first))
+    return sorted(found), found
+
+
+def _windows(text: bytes, window: int) -> list[bytes]:
+    """The windows of a run of words joined by one space."""
+    gaps = [-1, *np.flatnonzero(np.frombuffer(text, np.uint8) == 32).tolist(), len(text)]
+    return [text[gaps[i] + 1 : gaps[i + window]] for i in range(len(gaps) - window)]
+
+
+def _compared(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
+    """For each chunk, a bit for each window that it sent to this bucket: whether
+    the same words start anywhere else. Windows are compared as they are."""
+    runs, probes, twice, counts = [], [], [], []
+    for data, flags in zip(pdf["data"], pdf["flags"], strict=True):
+        n = int.from_bytes(data[:8], "little")
+        runs += data[8 + 8 * n :].split(b"\n")
+        probes.append(np.frombuffer(data, U, n, 8))
+        twice.append(np.unpackbits(np.frombuffer(flags, np.uint8), count=n))
+        counts.append(n)
+    probes, twice = np.concatenate(probes), np.concatenate(twice)
+    bits: list[np.ndarray | None] = [None] * len(runs)
+    order = np.argsort(probes, kind="stable")
+    for a, b in _cuts(probes[order]):
+        group = order[a:b].tolist()
+        first = runs[group[0]]
+        if all(runs[i] == first for i in group):
+            same = np.full(first.count(b" ") + 2 - window, len(group) > 1 or bool(twice[group[0]]))
+            for i in group:
+                bits[i] = same
+            continue
+        cut: dict[bytes, list[bytes]] = {}
+        times: dict[bytes, int] = {}
+        for i in group:
+            if runs[i] not in cut:
+                cut[runs[i]] = _windows(runs[i], window)
+            for x in cut[runs[i]]:
+                times[x] = times.get(x, 0) + 1 + int(twice[i])
+        for i in group:
+            bits[i] = np.array([times[x] > 1 for x in cut[runs[i]]])
+    out, at = [], 0
+    for r, (chunk, bucket) in enumerate(zip(pdf["chunk"], pdf["bucket"], strict=True)):
+        n = counts[r]
+        out.append((int(chunk), int(bucket), 1, np.packbits(np.concatenate(bits[at : at + n])).tobytes()))
+        at += n
+    return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "data"])
+
+
+def _known(answers: pd.DataFrame) -> np.ndarray:
+    """The shared probes that a chunk was told."""
+    parts = [_unpack(x) for x in answers.loc[answers["kind"] == 0, "data"]]
+    return np.sort(np.concatenate(parts)) if parts else np.empty(0, U)
+
+
+def _marked(texts: list[bytes], answers: pd.DataFrame, block: int, window: int, buckets: int) -> dict[int, list[int]]:
+    """The shared windows of each text of a chunk, by their first words."""
+    known = _known(answers)
+    if not len(known):
+        return {}
+    runs, places = _runs(texts, known, block, window)
+    bits = {int(b): np.unpackbits(np.frombuffer(d, np.uint8)) for b, d in answers.loc[answers["kind"] == 1, ["bucket", "data"]].itertuples(index=False)}
+    of = _bucket(np.array([p for p, _ in runs], U), buckets)
+    out: dict[int, list[int]] = {}
+    at = dict.fromkeys(bits, 0)
+    for run, b in zip(runs, of.tolist(), strict=True):
+        n = run[1].count(b" ") + 2 - window
+        good = np.flatnonzero(bits[b][at[b] : at[b] + n]).tolist()
+        at[b] += n
+        for text, first in places[run]:
+            out.setdefault(text, []).extend(first + g for g in good)
+    return out
 
 
 def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = True) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_removed, kept_sha256``
-    and, unless ``with_text`` is off, ``kept_text`` (kept words joined by one
-    space).
+    ``n_repeats`` (runs of shared windows) and, unless ``with_text`` is off,
+    ``kept_text`` (kept words joined by one space).
 
     A word goes if a window of ``window`` words covers it whose words also
     start anywhere else, in the same row too; all copies lose it, overlapping
     starts count as different ones, and windows are judged on the input. Null
     and empty texts have no words; null ids are kept as they are; repeated rows
-    are different places, so both lose shared windows. Other columns are
-    ignored. An empty table gives no rows.
+    are different places, so both lose shared windows. Ids have to be integers
+    or null. Other columns are ignored. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     block = (window + 1) // 2
-    runs = window - block + 1
     chunks = chunk_count(docs)
-    buckets = max(shuffle_partitions(spark), chunks // 4)
-    # the probes' width grows with the number of windows, so false hits stay rare
-    width = 5 if chunks < 4096 else 7
-    mask = U((1 << (8 * width)) - 1)
+    buckets = max(shuffle_partitions(docs.sparkSession), chunks // 4)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     salt = ["doc_id", F.length("text")]
     if ambiguous(base, "doc_id"):  # rows that an id doesn't tell apart are numbered once, and dealt by that
         base = staged(base.withColumn("salt", F.monotonically_increasing_id()), "op3-rows")
         salt.append("salt")
     base = base.select("doc_id", "text", F.pmod(F.xxhash64(*salt), F.lit(chunks)).cast("long").alias("chunk"))
+    columns = ["bucket", "chunk", "data", "flags"]
 
     def probes(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, aligned = _anchor_keys(hashed_texts(_texts(pdf)), block)
-        k, _, flags = _unique(np.concatenate(keys), aligned)
-        return _sent(int(key[0]), k, flags, buckets, width)
-
-    def hits(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _answer(pdf, width, 2, False)
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _answer(pdf, 8, 1, True)
-
-    def known_of(shared: pd.DataFrame, w: int) -> np.ndarray:
-        return np.unique(_unpack(b"".join(shared["shared"]), w))
-
-    def candidates(key: tuple, pdf: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf) or not len(shared):
-            return pd.DataFrame([], columns=["bucket", "chunk", "keys", "flags", "more"])
-        texts, known = _texts(pdf), known_of(shared, width)
-        words = hashed_texts(texts)
-        starts = [_wanted(window_hashes(w, block), runs, known, mask) for w in words]
-        one = _pairs([window_hashes(w, window) for w in words], starts)
-        two = _pairs([window_hashes(w, window, 1) for w in hashed_texts(texts, 1)], starts)
-        # a second hash that differs within one first hash is told apart by the bucket
-        order = np.lexsort((two, one))
-        one, two = one[order], two[order] & U(0xFFFFFFFF)
-        new = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))) if len(one) else np.empty(0, np.int64)
-        count = np.diff(np.append(new, len(one)))
-        return _sent(int(key[0]), one[new], (count > 1)[:, None], buckets, 8, two[new])
-
-    out_cols = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-
-    def removed(key: tuple, pdf: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+        keys, flags = _asked(_texts(pdf), block)
+        of = _bucket(keys << _SHIFT, buckets)
+        rows = [(int(of[a]), int(key[0]), _pack(keys[a:b]), np.packbits(flags[a:b].T.ravel()).tobytes()) for a, b in _cuts(of)]
+        return pd.DataFrame(rows, columns=columns)
+
+    def candidates(key: tuple, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(answers):
+            return pd.DataFrame([], columns=columns)
+        runs, places = _runs(_texts(pdf), _known(answers), block, window)
+        probes = np.array([p for p, _ in runs], U)
+        of, rows = _bucket(probes, buckets), []
+        for a, b in _cuts(of):
+            data = (b - a).item().to_bytes(8, "little") + probes[a:b].tobytes() + b"\n".join(t for _, t in runs[a:b])
+            rows.append((int(of[a]), int(key[0]), data, np.packbits([len(places[r]) > 1 for r in runs[a:b]]).tobytes()))
+        return pd.DataFrame(rows, columns=columns)
+
+    out_cols = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_repeats long" + ", kept_text string" * with_text
+
+    def removed(key: tuple, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         rows, texts = [], _texts(pdf)
-        known = known_of(shared, 8) if len(shared) else np.empty(0, U)
-        words = hashed_texts(texts) if len(known) else [None] * len(texts)
-        for doc, t, w in zip(pdf["doc_id"], texts, words, strict=True):
-            gone = np.empty(0, np.int64)
-            if w is not None and len(w) >= window:
-                at = np.flatnonzero(_member(window_hashes(w, window), known))
-                if len(at):
-                    step = np.zeros(len(w) + 1, np.int32)
-                    step[at] += 1
-                    np.subtract.at(step, at + window, 1)
-                    gone = np.cumsum(step[:-1]) > 0
-            parts = t.split()
+        marks = _marked(texts, answers, block, window, buckets) if len(answers) else {}
+        for n, (doc, t) in enumerate(zip(pdf["doc_id"], texts, strict=True)):
             # bytes.split() also separates at no other byte than the six of the contract
-            kept = parts if not len(gone) else [p for p, g in zip(parts, gone, strict=True) if not g]
+            parts, repeats = t.split(), 0
+            kept = parts
+            if n in marks:
+                at = np.unique(np.array(marks[n], np.int64))
+                repeats = 1 + int((np.diff(at) > 1).sum()) if len(at) else 0
+                step = np.zeros(len(parts) + 1, np.int32)
+                step[at] += 1
+                np.subtract.at(step, at + window, 1)
+                kept = [p for p, g in zip(parts, np.cumsum(step[:-1]) > 0, strict=True) if not g]
             data = b" ".join(kept)
-            rows.append((doc, len(parts), len(parts) - len(kept), hashlib.sha256(data).hexdigest(), *([data.decode("utf-8", "surrogatepass")] if with_text else [])))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])])
+            rows.append((doc, len(parts), len(parts) - len(kept), hashlib.sha256(data).hexdigest(), repeats, *([data.decode("utf-8", "surrogatepass")] if with_text else [])))
+        out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "n_repeats", *(["kept_text"] if with_text else [])])
         return out.astype({"doc_id": "Int64"})
 
-    sent = "bucket long, chunk long, keys binary, flags binary, more binary"
-    got = "chunk long, shared binary"
+    sent, got = "bucket long, chunk long, data binary, flags binary", "chunk long, bucket long, kind int, data binary"
     by = base.groupBy("chunk")
-    asked = by.applyInPandas(probes, sent)
-    shared = asked.groupBy("bucket").applyInPandas(hits, got)
+    shared = by.applyInPandas(probes, sent).groupBy("bucket").applyInPandas(_shared, got)
     asked = by.cogroup(shared.groupBy("chunk")).applyInPandas(candidates, sent)
-    final = asked.groupBy("bucket").applyInPandas(verify, got)
-    return by.cogroup(final.groupBy("chunk")).applyInPandas(removed, out_cols)
+    told = asked.groupBy("bucket").applyInPandas(lambda pdf: _compared(pdf, window), got)
+    return by.cogroup(shared.unionAll(told).groupBy("chunk")).applyInPandas(removed, out_cols)

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -80,6 +81,34 @@ def brute_repeats(rows, window):
     return out
 
 
+@given(st.lists(st.integers(0, (1 << 56) - 1), max_size=50), st.integers(0, 55))
+def test_probes_survive_packing(keys, less):
+    keys = np.unique(np.array(keys, np.uint64) >> np.uint64(less))
+    assert (substrings._unpack(substrings._pack(keys)) == keys).all()
+
+
+def test_windows_are_compared_by_their_words(spark, monkeypatch):
+    """Hashes that nearly always collide cost time, and change no result."""
+    rows = corpus(seed=9)
+    monkeypatch.setattr(substrings, "hashed_texts", lambda texts: [np.array([len(w) % 2 for w in t.split()], np.uint64) for t in texts])
+    texts = [(t or "").encode() for _, t in rows]
+    block, window, buckets = 4, 7, 3
+    keys, flags = substrings._asked(texts, block)
+    asked = pd.DataFrame([(0, 0, substrings._pack(keys), np.packbits(flags.T.ravel()).tobytes())], columns=["bucket", "chunk", "data", "flags"])
+    shared = substrings._shared(asked)
+    runs, places = substrings._runs(texts, substrings._known(shared), block, window)
+    of = substrings._bucket(np.array([p for p, _ in runs], np.uint64), buckets)
+    told = []
+    for a, b in substrings._cuts(of):
+        data = int(b - a).to_bytes(8, "little") + np.array([p for p, _ in runs[a:b]], np.uint64).tobytes() + b"\n".join(t for _, t in runs[a:b])
+        told.append((int(of[a]), 0, data, np.packbits([len(places[r]) > 1 for r in runs[a:b]]).tobytes()))
+    told = substrings._compared(pd.DataFrame(told, columns=asked.columns), window)
+    marks = substrings._marked(texts, pd.concat([shared, told]), block, window, buckets)
+    for n, want in enumerate(brute_repeats(rows, window)):
+        gone = {i + j for i in marks.get(n, []) for j in range(window)}
+        assert len(gone) == want[2]
+
+
 @pytest.mark.parametrize("window", [35, 7])
 def test_substrings(spark, window):
     rows = corpus()
