@@ -38,44 +38,45 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return rows.select("doc", "x.pos", (F.col("place") + 1).alias("seq"), F.length(line).alias("chars"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), line).alias("h2"))
 
 
-def _keyed(rows: DataFrame, keys: list[str], least: int) -> tuple[DataFrame, int]:
+def _keyed(rows: DataFrame, keys: list[str], least: int) -> tuple[DataFrame, int, int]:
     """For each key that ``least`` rows hold: its place in a global sort
     (``rank``), the earliest place in the corpus (``first``) and how many rows
-    hold it (``c``, ``times``); and how many rows share a key. Keys are counted
-    on the map side; the sort is over distinct keys only."""
+    hold it (``c``, ``times``); how many rows these are, and how many of them
+    share a key. Keys are counted on the map side; the sort is over distinct
+    keys only."""
     out = rows.groupBy(*(F.col(k).alias(f"k_{k}") for k in keys)).agg(F.count("*").alias("c"), F.min(F.struct("doc", "seq")).alias("first")).where(F.col("c") >= least)
     out = out.orderBy(*(f"k_{k}" for k in keys)).withColumn("rank", F.monotonically_increasing_id()).withColumn("times", F.col("c"))
     out = staged(out, "op5-keys")
-    return out, out.agg(F.sum(F.when(F.col("c") > 1, F.col("c")))).first()[0] or 0
+    total, shared = out.agg(F.sum("c"), F.sum(F.when(F.col("c") > 1, F.col("c")))).first()
+    return out, total or 0, shared or 0
 
 
-_SUFFIX = ("doc", "pos", "seq", "chars", "path", "first", "times")
+_SUFFIX = ("doc", "seq", "path", "first", "times")
 
 
 def suffix_levels(lines: DataFrame) -> list[DataFrame]:
     """The suffix array of ``lines`` (staged) by prefix doubling, level by level.
 
-    The j-th table has ``doc, pos, seq, chars, path, first, times`` for the
-    suffixes that share 2**(j - 1) lines (the 0-th: one line): ``times`` of them share 2**j
-    lines, ``first`` is the earliest of these, and ``path`` has the ranks of all
-    levels so far. Paths sort as the suffixes do. Suffixes of which there is one
+    The j-th table has ``doc, seq, path, first, times`` for the suffixes that
+    share 2**(j - 1) lines (the 0-th: one line, with ``pos, chars``): ``times`` of
+    them share 2**j lines, ``first`` is the earliest of these, and ``path`` has
+    the ranks of all levels so far. Paths sort as the suffixes do. Suffixes of which there is one
     are settled: the later tables don't have them, and the last has no other.
     """
-    keys, shared = _keyed(lines, ["h1", "h2"], 2)
-    table = joined(lines, keys, {"h1": "k_h1", "h2": "k_h2"}, shared).withColumn("path", F.array("rank")).select(*_SUFFIX)
+    keys, total, shared = _keyed(lines, ["h1", "h2"], 2)
+    table = joined(lines, keys, {"h1": "k_h1", "h2": "k_h2"}, total).withColumn("path", F.array("rank")).select("pos", "chars", *_SUFFIX)
     levels = [staged(table, "op5-suffixes")]
     dropped(keys)
     while shared:
         step = 1 << (len(levels) - 1)
-        here = levels[-1].where("times > 1").select("doc", "pos", "seq", "chars", "path", F.element_at("path", -1).alias("rank0"))
-        ahead = levels[-1]
-        for x in levels[:-1]:
+        here = levels[-1].where("times > 1").select("doc", "seq", "path", F.element_at("path", -1).alias("rank0"))
+        ahead = levels[-1].select(*_SUFFIX)
+        for x in levels[1:-1]:
             ahead = ahead.unionAll(x.where("times = 1"))
         ahead = ahead.select(F.col("doc").alias("d"), (F.col("seq") - step).alias("s"), F.col("path").alias("next"))
         pairs = staged(here.join(ahead, (here["doc"] == ahead["d"]) & (here["seq"] == ahead["s"]), "left").drop("d", "s"), "op5-pairs")
         able = pairs.where("next IS NOT NULL")
-        keys, shared = _keyed(able, ["rank0", "next"], 1)
-        total = keys.agg(F.sum("c")).first()[0] or 0
+        keys, total, shared = _keyed(able, ["rank0", "next"], 1)
         ranked = joined(able, keys, {"rank0": "k_rank0", "next": "k_next"}, total)
         # what follows is the end of the document or a line found nowhere else
         ends = pairs.where("next IS NULL").withColumn("rank", -1 - F.monotonically_increasing_id()).withColumn("first", F.struct("doc", "seq")).withColumn("times", F.lit(1).cast("long"))
@@ -93,8 +94,8 @@ def prefix_lengths(levels: list[DataFrame]) -> DataFrame:
 
     Ranks that two neighbours have in common tell the largest power of two of
     lines that they share; what is left is told by the suffixes that follow
-    these lines, and so on: half of the pairs or more are done in each round."""
-    every = levels[0].where("times = 1")
+    these lines, and so on: what may be left halves with each round."""
+    every = levels[0].where("false").select(*_SUFFIX)
     for x in levels[1:]:
         every = every.unionAll(x.where("times = 1"))
     part, row = F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")
@@ -108,18 +109,18 @@ def prefix_lengths(levels: list[DataFrame]) -> DataFrame:
     same = F.size(F.filter(F.zip_with("path", "path2", lambda x, y: x == y), lambda x: x))
     after = at.select(F.col("doc").alias("doc2"), F.col("seq").alias("seq2"), F.col("path").alias("path2"), (F.col("at") - 1).alias("before"))
     now = at.join(after, at["at"] == after["before"]).withColumn("m", same).where("m > 0").withColumn("lcp", F.lit(0))
-    grown = F.when(F.col("m") > 0, F.col("lcp") + F.expr("shiftleft(1, m - 1)")).otherwise(F.col("lcp")).alias("lcp")
+    grown = (F.col("lcp") + F.expr("shiftleft(1, m - 1)")).alias("lcp")
     parts = [staged(now.select("doc", "seq", "doc2", "seq2", "m", grown), "op5-lcp")]
+    one = every.select(F.col("doc").alias("d"), F.col("seq").alias("s"), "path")
+    two = every.select(F.col("doc").alias("d2"), F.col("seq").alias("s2"), F.col("path").alias("path2"))
     while not (now := parts[-1].where("m > 1")).isEmpty():
-        one = every.select(F.col("doc").alias("d"), F.col("seq").alias("s"), "path")
-        two = every.select(F.col("doc").alias("d2"), F.col("seq").alias("s2"), F.col("path").alias("path2"))
-        now = now.drop("m").join(one, (F.col("doc") == one["d"]) & (F.col("seq") + F.col("lcp") == one["s"]), "left")
-        now = now.join(two, (F.col("doc2") == two["d2"]) & (F.col("seq2") + F.col("lcp") == two["s2"]), "left")
-        now = now.withColumn("m", F.when(F.col("path").isNull() | F.col("path2").isNull(), 0).otherwise(same))
+        # a suffix without a row shares nothing, and its pair stays as it is
+        now = now.drop("m").join(one, (F.col("doc") == one["d"]) & (F.col("seq") + F.col("lcp") == one["s"]))
+        now = now.join(two, (F.col("doc2") == two["d2"]) & (F.col("seq2") + F.col("lcp") == two["s2"])).withColumn("m", same).where("m > 0")
         parts.append(staged(now.select("doc", "seq", "doc2", "seq2", "m", grown), "op5-lcp"))
-    pairs = parts[-1].where("m < 2")
-    for x in parts[:-1]:
-        pairs = pairs.unionAll(x.where("m < 2"))
+    pairs = parts[0]
+    for x in parts[1:]:
+        pairs = pairs.unionAll(x)
     both = pairs.select("doc", "seq", "lcp").unionAll(pairs.select("doc2", "seq2", "lcp"))
     out = staged(both.groupBy("doc", "seq").agg(F.max("lcp").alias("lcp")), "op5-lengths")
     for x in [every, *parts]:
@@ -149,8 +150,8 @@ def intervals(levels: list[DataFrame], depth: int) -> DataFrame:
     ahead = here.select(F.col("doc").alias("d"), (F.col("seq") - (depth - (1 << j))).alias("s"), rank.alias("b"))
     here = here.select("doc", "seq", rank.alias("a"))
     pairs = staged(here.join(ahead, (here["doc"] == ahead["d"]) & (here["seq"] == ahead["s"])).select("doc", "seq", "a", "b"), "op5-pairs")
-    keys, shared = _keyed(pairs, ["a", "b"], 2)
-    return joined(pairs, keys, {"a": "k_a", "b": "k_b"}, shared).select("doc", "seq", "first")
+    keys, total, _ = _keyed(pairs, ["a", "b"], 2)
+    return joined(pairs, keys, {"a": "k_a", "b": "k_b"}, total).select("doc", "seq", "first")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, one_line: int | None = None) -> DataFrame:
@@ -179,6 +180,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     levels = suffix_levels(places)
     prefixes = prefix_lengths(levels)
     found = maximal_runs(prefixes).where(F.col("lcp") >= min_lines).groupBy(F.col("doc").alias("fdoc")).agg(F.count("*").alias("n_runs"), F.max("lcp").cast("long").alias("longest_run"))
+    found = staged(found, "op5-runs")
     later = intervals(levels, min_lines).where(F.struct("doc", "seq") > F.col("first"))
     marks = later.select("doc", F.explode(F.sequence("seq", F.col("seq") + (min_lines - 1))).alias("mseq"))
     if one_line is not None:
@@ -188,8 +190,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = Window.partitionBy("doc").orderBy("pos")
     runs = pos.withColumn("run", F.col("pos") - F.row_number().over(order)).groupBy("doc", "run").agg(F.min("pos").alias("s"), (F.max("pos") + 1).alias("e"))
     runs = runs.groupBy(F.col("doc").alias("rdoc")).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("runs"), F.sum(F.col("e") - F.col("s")).alias("gone"))
-    runs = staged(found.join(runs, found["fdoc"] == runs["rdoc"], "full").select(F.coalesce("fdoc", "rdoc").alias("rdoc"), "runs", "gone", "n_runs", "longest_run"), "op5-runs")
-    for x in [places, prefixes, pos, *levels]:
+    runs = found.join(runs, found["fdoc"] == runs["rdoc"], "full").select(F.coalesce("fdoc", "rdoc").alias("rdoc"), "runs", "gone", "n_runs", "longest_run")
+    for x in [places, prefixes, *levels]:
         dropped(x)
     lines = F.split("text", "\n")
     flags = F.concat(
