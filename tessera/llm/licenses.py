@@ -62,22 +62,48 @@ def telling_words(sets: dict[str, list[str]], threshold: float) -> list[str]:
     """Words of which any matching passage has one.
 
     Coefficient ``t`` takes at least b*t/(2-t) of a template's bigrams. Words
-    are gathered, the longest first, until the bigrams that hold one are more
-    than a passage may lack; the rest of the template needn't be looked for.
+    are gathered until, for each template, the bigrams that hold one are more
+    than a passage may lack; the rest of the template needn't be looked for. Of
+    the words of some length the one that most templates gain by comes first, so
+    that few and long words do.
     """
+    grams = [[set(g.split(" ")) for g in s] for s in sets.values()]
+    lack = [len(s) - math.ceil(len(s) * threshold / (2 - threshold) - 1e-9) for s in grams]
     out: set[str] = set()
-    for grams in sets.values():
-        lack = len(grams) - math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)
-        pairs = [set(g.split(" ")) for g in grams]
-        covered = sum(1 for p in pairs if p & out)
-        for w in sorted({w for p in pairs for w in p} - out, key=lambda w: (len(w), w), reverse=True):
-            if covered > lack:
+
+    def open_() -> list[list[set[str]]]:
+        return [[p for p in s if not p & out] for s, k in zip(grams, lack, strict=True) if sum(1 for p in s if p & out) <= k]
+
+    for least in range(8, 0, -1):
+        while left := open_():
+            gain: dict[str, int] = {}
+            for p in (p for s in left for p in s):
+                for w in p:
+                    if len(w) >= least:
+                        gain[w] = gain.get(w, 0) + 1
+            if not gain:
                 break
-            out.add(w)
-            covered = sum(1 for p in pairs if p & out)
+            # short words that gain much are common ones
+            out.add(max(gain, key=lambda w: (gain[w] if len(w) > 3 else 0, len(w), w)))
     return sorted(out)
 
 
+def _one_of(words: list[str]) -> str:
+    """A pattern of some words that tries each of their beginnings once."""
+    tails: dict[str, list[str]] = {}
+    for w in words:
+        tails.setdefault(w[:1], []).append(w[1:])
+    ends = "" in tails
+    tails.pop("", None)
+    body = "|".join(first + _one_of(rest) for first, rest in sorted(tails.items()))
+    return (f"(?:{body})" + "?" * ends) if tails else ""
+
+
+def _may_match(text: Column, telling: list[str]) -> Column:
+    """Whether a text holds one of the words."""
+    return text.rlike(f"(?<![A-Za-z0-9])(?i:{_one_of(telling)})(?![A-Za-z0-9])") if telling else F.lit(False)
+
+
 def _normal(text: Column) -> Column:
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.trim(F.regexp_replace(lower, "[^a-z0-9]+", " "))
@@ -167,10 +193,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     low = min((len(b) for b in sets.values()), default=1) * threshold / (2 - threshold)
     high = max((len(b) for b in sets.values()), default=0) * (2 - threshold) / threshold
     # texts without any telling word hold no match; the others are cut up
-    telling = "(?<![A-Za-z0-9])(?i:" + "|".join(telling_words(sets, threshold)) + ")(?![A-Za-z0-9])" if sets else "(?!)"
-    base = base.where(F.col("text").rlike(telling))
+    telling = telling_words(sets, threshold)
+    base = base.where(_may_match(F.col("text"), telling))
     whole = base
-    units = passages(base).where((F.length("passage") >= low) & F.col("passage").rlike(telling))
+    units = passages(base).where((F.length("passage") >= low) & _may_match(F.col("passage"), telling))
     units = units.withColumn("norm", _normal(F.col("passage"))).drop("passage")
     units = units.withColumn("n_words", F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).where(F.col("n_words") > low)
     grams = _grams(F.split("norm", " "))
@@ -188,7 +214,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     units = units.where(fitting)
     hits = F.filter(F.array(*[one(k, b) for k, b in sets.items()]), lambda x: x["score"] >= threshold - 1e-12)
     found = units.select("doc_id", "unit", "unit_no", F.explode(hits).alias("h"))
-    grown = runs(whole, sets, telling_words(sets, threshold), high).withColumn("a", F.size("grams")).where(fitting)
+    grown = runs(whole, sets, telling, high).withColumn("a", F.size("grams")).where(fitting)
     grown = best_runs(grown.select("row", "doc_id", "i", "j", "no", "given", F.explode(hits).alias("h")))
     found = found.unionAll(grown.select("doc_id", F.lit("run").alias("unit"), F.col("no").alias("unit_no"), "h"))
     return found.select("doc_id", "unit", F.col("unit_no").cast("long").alias("unit_no"), "h.license_id", F.round("h.score", 6).alias("score"))
