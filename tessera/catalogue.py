@@ -3,6 +3,11 @@ the same question in DuckDB's SQL. Sums of doubles are rounded on both sides."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
+from .storage import shared_dir
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations"]
 #: The columns that give a table's order of insertion.
 ORDER = {
@@ -266,6 +271,20 @@ SCRIPTS: dict[str, tuple[str, str | None]] = {
 }
 
 
+# name -> (script that makes tables, script on the file that they are written to, DuckDB)
+FILES: dict[str, tuple[str, str, str]] = {
+    "file_scan": (
+        "CREATE TABLE c(k INTEGER PRIMARY KEY, name TEXT, bal REAL, note TEXT); INSERT INTO c SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 50 = 0 THEN replace(printf('%5000d', c_custkey), ' ', 'long') END FROM customer",
+        "SELECT k, name, bal, length(note) AS n, substr(note, -3) AS e FROM c",
+        "SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal, CASE WHEN c_custkey % 50 = 0 THEN 4 * 5000 - 3 * length(CAST(c_custkey AS VARCHAR)) END AS n, CASE WHEN c_custkey % 50 = 0 THEN right(repeat('long', 5) || c_custkey, 3) END AS e FROM customer"),
+    "file_catalog": ("CREATE TABLE b(x TEXT); CREATE TABLE a(y INTEGER)", "SELECT name, sql FROM sqlite_schema WHERE type = 'table'", "SELECT * FROM (VALUES ('a', 'CREATE TABLE a(y INTEGER)'), ('b', 'CREATE TABLE b(x TEXT)')) t(name, sql)"),
+    "file_dml": (
+        "CREATE TABLE n(k INTEGER PRIMARY KEY, s TEXT); INSERT INTO n SELECT n_nationkey, n_name FROM nation",
+        "BEGIN; INSERT INTO n(s) VALUES ('ATLANTIS'); UPDATE n SET s = lower(s) WHERE k < 5; COMMIT; DELETE FROM n WHERE k BETWEEN 10 AND 12; CREATE TABLE m(a TEXT); INSERT INTO m SELECT s FROM n WHERE k > 20; SELECT k, s FROM n UNION ALL SELECT 1000, a FROM m",
+        "WITH n AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey < 5 THEN lower(n_name) ELSE n_name END AS s FROM nation WHERE n_nationkey NOT BETWEEN 10 AND 12 UNION ALL SELECT max(n_nationkey) + 1, 'ATLANTIS' FROM nation) SELECT k, s FROM n UNION ALL SELECT 1000, s FROM n WHERE k > 20"),
+}
+
+
 def open_session(spark, sf_dir: str):
     from .session import Session
 
@@ -279,11 +298,23 @@ def queries() -> dict:
     def many(text):
         return lambda spark, sf_dir: open_session(spark, sf_dir).script(text)[-1]
 
-    return {k: one(q) for k, (q, _) in QUERIES.items()} | {k: many(q) for k, (q, _) in SCRIPTS.items()}
+    def in_file(name, before, after):
+        def run(spark, sf_dir):
+            from .session import Session
+
+            path = f"{shared_dir(spark)}/files/{name}-{uuid.uuid4().hex}.db".removeprefix("file:").replace("///", "/")
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            first = open_session(spark, sf_dir)
+            first.script(before)
+            first.save(path)
+            return Session(spark).attach(path, write=name == "file_dml").script(after)[-1]
+
+        return run
+
+    return {k: one(q) for k, (q, _) in QUERIES.items()} | {k: many(q) for k, (q, _) in SCRIPTS.items()} | {k: in_file(k, a, b) for k, (a, b, _) in FILES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    """The second text, or the first where both dialects agree on it; none for
-    an empty one (DuckDB rounds halves of decimal texts, the dialect of binary
-    values; and it has no timediff)."""
-    return {k: (q if sql is None else sql) for k, (q, sql) in (QUERIES | SCRIPTS).items() if sql != ""}
+    """DuckDB's text, or the dialect's where both agree on it."""
+    texts = QUERIES | SCRIPTS | {k: (b, sql) for k, (_, b, sql) in FILES.items()}
+    return {k: (q if sql is None else sql) for k, (q, sql) in texts.items()}

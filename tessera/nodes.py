@@ -174,6 +174,7 @@ class ColumnDef:
 class CreateTable:
     name: str
     columns: list
+    sql: str = ""  # the statement as it was given
 
 
 @dataclass

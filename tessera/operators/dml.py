@@ -23,7 +23,7 @@ def declared(kind: str) -> str:
     return "int" if "INT" in k else "text" if any(x in k for x in ("CHAR", "CLOB", "TEXT")) else "blob" if "BLOB" in k else "real" if any(x in k for x in ("REAL", "FLOA", "DOUB")) else "null"
 
 
-def create(session, s: n.CreateTable, text: str) -> DataFrame:
+def create(session, s: n.CreateTable) -> DataFrame:
     names = [c.name for c in s.columns]
     session.opened(s.name)
     if s.name in session.tables:
@@ -32,7 +32,7 @@ def create(session, s: n.CreateTable, text: str) -> DataFrame:
         raise SyntaxFault("a column or the primary key is given twice")
     fields = [T.StructField(c.name, T.StringType() if declared(c.type) == "null" else TYPES[declared(c.type)]) for c in s.columns]
     df = session.spark.createDataFrame([], T.StructType([*fields, T.StructField(ROWID, T.LongType())]))
-    t = session.register(s.name, df, collations={c.name: c.collation for c in s.columns}, ipk=next((c.name for c in s.columns if c.ipk), None), defs=s.columns, sql=text)
+    t = session.register(s.name, df, collations={c.name: c.collation for c in s.columns}, ipk=next((c.name for c in s.columns if c.ipk), None), defs=s.columns, sql=s.sql)
     for c, d in zip(t.columns, s.columns, strict=True):
         # an undeclared column takes the class of what is inserted first
         c.cls = declared(d.type)

@@ -1,22 +1,26 @@
-"""A read-only connector for single-file databases: table B-trees of fixed-size
-pages, with an overlay of committed write-ahead-log frames.
+"""A connector for single-file databases: table B-trees of fixed-size pages,
+with an overlay of committed write-ahead-log frames.
 
-The driver reads the schema and lists the leaf pages of a table; tasks decode
-runs of leaves. The file is never changed: with a hot rollback journal beside
-it, it is refused.
+The path has to be one that the driver and all executors share. The driver reads
+the schema and the inner pages of a table; tasks decode runs of leaves, once for
+the classes of values that a column holds and once for the rows. With a hot
+rollback journal beside it, a file is refused; a damaged page is an error.
 """
 
 from __future__ import annotations
 
 import os
 import struct
+import warnings
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..errors import DialectError
+from .. import nodes as n
+from ..errors import DialectError, SyntaxFault
+from ..functions.core import real_text
 from ..types import joined
 
 LEAVES = 64  # leaf pages in a partition
@@ -79,23 +83,30 @@ class Pages:
             f.seek((page - 1) * self.size if at is None else at)
             return f.read(self.size)
 
-    def leaves(self, root: int) -> Iterator[int]:
-        data = self.read(root)
-        h = 100 if root == 1 else 0
-        if data[h] == 13:
-            yield root
-        elif data[h] == 5:
-            n, right = struct.unpack(">H", data[h + 3 : h + 5])[0], struct.unpack(">I", data[h + 8 : h + 12])[0]
-            for k in range(n):
-                at = struct.unpack(">H", data[h + 12 + 2 * k : h + 14 + 2 * k])[0]
-                yield from self.leaves(struct.unpack(">I", data[at : at + 4])[0])
-            yield from self.leaves(right)
-        else:
-            raise DialectError(f"page {root} is no table page")
+    def children(self, page: int) -> list[int]:
+        data = self.read(page)
+        h = 100 if page == 1 else 0
+        if data[h] != 5:
+            raise DialectError(f"page {page} is no inner page of a table")
+        size, right = struct.unpack(">H", data[h + 3 : h + 5])[0], struct.unpack(">I", data[h + 8 : h + 12])[0]
+        places = struct.unpack(f">{size}H", data[h + 12 : h + 12 + 2 * size])
+        return [*(struct.unpack(">I", data[at : at + 4])[0] for at in places), right]
+
+    def leaves(self, root: int) -> list[int]:
+        """The leaves of a tree in order. All leaves are equally deep, so a level
+        is known by its first page, and no other leaf is read."""
+        level = [root]
+        while (kind := self.read(level[0])[100 if level[0] == 1 else 0]) != 13:
+            if kind != 5:
+                raise DialectError(f"page {level[0]} is no table page")
+            level = [c for p in level for c in self.children(p)]
+        return level
 
     def rows(self, leaf: int) -> Iterator[tuple[int, list]]:
         data = self.read(leaf)
         h = 100 if leaf == 1 else 0
+        if data[h : h + 1] != b"\x0d":
+            raise DialectError(f"page {leaf} is no leaf of a table")
         for k in range(struct.unpack(">H", data[h + 3 : h + 5])[0]):
             at = struct.unpack(">H", data[h + 8 + 2 * k : h + 10 + 2 * k])[0]
             size, at = _varint(data, at)
@@ -178,11 +189,11 @@ def _class(v) -> str:
 def _as(v, cls: str):
     if v is None or _class(v) == cls:
         return v
-    if cls == "real":
+    if cls == "real" and isinstance(v, int):
         return float(v)
-    if cls == "blob":
-        return str(v).encode()
-    return v.decode("utf-8", "replace") if isinstance(v, bytes) else str(v)
+    if cls == "text":
+        return v.decode("utf-8", "replace") if isinstance(v, bytes) else real_text(v) if isinstance(v, float) else str(v)
+    raise DialectError(f"{v!r} is no value of class {cls}: name the column's class as text")
 
 
 class Leaves(InputPartition):
@@ -195,7 +206,7 @@ class TableReader(DataSourceReader):
         self.path, self.root, self.classes, self.ipk = path, root, classes, ipk
 
     def partitions(self) -> list[Leaves]:
-        pages = list(Pages(self.path).leaves(self.root))
+        pages = Pages(self.path).leaves(self.root)
         return [Leaves(pages[i : i + LEAVES]) for i in range(0, len(pages), LEAVES)]
 
     def read(self, partition: Leaves) -> Iterator[tuple]:
@@ -208,8 +219,24 @@ class TableReader(DataSourceReader):
                 yield (*(_as(v, c) for v, c in zip(values, self.classes, strict=True)), rowid)
 
 
+class ClassReader(TableReader):
+    """The classes that a column's values have, once from each partition."""
+
+    def read(self, partition: Leaves) -> Iterator[tuple]:
+        file, seen = Pages(self.path), set()
+        for leaf in partition.pages:
+            for _, values in file.rows(leaf):
+                seen |= {(i, _class(v)) for i, v in enumerate(values)}
+        yield from sorted(seen)
+
+
 class DbFile(DataSource):
-    """``spark.read.format("dbfile").option("table", t).load(path)``."""
+    """``spark.read.format("dbfile").option("table", t).load(path)``.
+
+    Columns have the class that their type declares (text without one), or that
+    the option ``classes`` names in their order; a value of a class that the
+    column's can't hold is an error. With ``scan`` = ``classes`` the rows are the
+    columns' numbers and the classes that they hold."""
 
     @classmethod
     def name(cls) -> str:
@@ -219,17 +246,22 @@ class DbFile(DataSource):
         path, want = self.options["path"], self.options["table"].lower()
         for name, root, ddl in tables_of(path):
             if name == want:
-                names, classes, ipk = described(path, root, ddl)
-                return root, names, classes, ipk
+                columns = table_of(ddl).columns
+                ipk = next((i for i, c in enumerate(columns) if c.ipk), -1)
+                classes = [x for x in self.options.get("classes", "").split(",") if x] or [_declared(c) for c in columns]
+                return root, [c.name for c in columns], classes, ipk
         raise DialectError(f"no such table: {want}")
 
     def schema(self) -> T.StructType:
+        if self.options.get("scan") == "classes":
+            return T.StructType([T.StructField("i", T.IntegerType()), T.StructField("kind", T.StringType())])
         _, names, classes, _ = self._table()
         return T.StructType([*(T.StructField(x, KINDS[c]) for x, c in zip(names, classes, strict=True)), T.StructField("_rowid_", T.LongType())])
 
     def reader(self, schema: T.StructType) -> TableReader:
         root, _, classes, ipk = self._table()
-        return TableReader(self.options["path"], root, classes, ipk)
+        reader = ClassReader if self.options.get("scan") == "classes" else TableReader
+        return reader(self.options["path"], root, classes, ipk)
 
 
 def tables_of(path: str) -> list[tuple[str, int, str]]:
@@ -239,30 +271,39 @@ def tables_of(path: str) -> list[tuple[str, int, str]]:
     return [(r[1].lower(), r[3], r[4]) for r in rows if r[0] == "table" and not r[1].lower().startswith("sqlite_")]
 
 
-def described(path: str, root: int, ddl: str) -> tuple[list[str], list[str], int]:
-    """Names and classes of a table's columns, and which one is the rowid. The
-    class is that of all values: a column of several is read as text."""
+def table_of(ddl: str) -> n.CreateTable:
     from ..parser import parse
 
-    columns = parse(ddl)[0].columns
-    ipk = next((i for i, c in enumerate(columns) if c.ipk), -1)
-    classes = ["null"] * len(columns)
-    file = Pages(path)
-    for leaf in file.leaves(root):
-        for _, values in file.rows(leaf):
-            for i, v in enumerate(values):
-                if classes[i] != "text":
-                    classes[i] = joined([classes[i], _class(v)])
-    if ipk >= 0:
-        classes[ipk] = "int"
-    return [c.name for c in columns], classes, ipk
+    return parse(ddl)[0]
+
+
+def _declared(column: n.ColumnDef) -> str:
+    from ..operators.dml import declared
+
+    kind = declared(column.type)
+    return "int" if column.ipk else "text" if kind == "null" else kind
+
+
+def settings(path: str) -> tuple[int, int]:
+    """The file's user version and application id."""
+    head = Pages(path).read(1)
+    return struct.unpack(">i", head[60:64])[0], struct.unpack(">i", head[68:72])[0]
 
 
-def read_tables(spark: SparkSession, path: str) -> Iterator[tuple[str, DataFrame, str]]:
+def read_tables(spark: SparkSession, path: str) -> Iterator[tuple[str, DataFrame, n.CreateTable]]:
+    """Each table with its declaration. A column's class is that of all of its
+    values, found by a distributed pass; one of several is read as text. A table
+    whose declaration the dialect can't read is left out with a warning."""
     spark.dataSource.register(DbFile)
     for name, _, ddl in tables_of(path):
         try:
-            df = spark.read.format("dbfile").option("table", name).load(path)
-        except DialectError:
+            table = table_of(ddl)
+        except SyntaxFault as e:
+            warnings.warn(f"table {name} of {path} is left out: {e}", stacklevel=2)
             continue
-        yield name, df, ddl
+        source = spark.read.format("dbfile").option("table", name)
+        found: dict[int, set[str]] = {}
+        for r in source.option("scan", "classes").load(path).distinct().collect():  # some classes a column
+            found.setdefault(r["i"], set()).add(r["kind"])
+        classes = [_declared(c) if c.ipk or found.get(i, {"null"}) == {"null"} else joined(sorted(found[i])) for i, c in enumerate(table.columns)]
+        yield name, spark.read.format("dbfile").option("table", name).option("classes", ",".join(classes)).load(path), table

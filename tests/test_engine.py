@@ -141,6 +141,61 @@ def test_database_file(spark, tmp_path):
     db.close()
 
 
+def test_file_mode(spark, tmp_path):
+    path = str(tmp_path / "w.db")
+    s = Session(spark).attach(path, write=True)
+    s.script("CREATE TABLE t(id INTEGER PRIMARY KEY, x TEXT COLLATE NOCASE NOT NULL, y REAL, z); CREATE TABLE u(a)")
+    s.script("BEGIN; INSERT INTO t VALUES (1, 'one', 1.5, x'00ff'), (7, printf('%09000d', 3), NULL, NULL); INSERT INTO u VALUES ('a'); COMMIT; PRAGMA user_version = 12")
+    db = sqlite3.connect(path)
+    assert db.execute("PRAGMA integrity_check").fetchall() == [("ok",)] and db.execute("PRAGMA user_version").fetchone() == (12,)
+    assert db.execute("SELECT id, x, y FROM t ORDER BY id").fetchall() == [(1, "one", 1.5), (7, "0" * 8999 + "3", None)]
+    assert db.execute("SELECT sql FROM sqlite_master WHERE name = 't'").fetchone()[0].startswith("CREATE TABLE t(id INTEGER PRIMARY KEY, x TEXT COLLATE NOCASE NOT NULL")
+    db.executemany("INSERT INTO u VALUES (?)", [(f"row {i}" * 9,) for i in range(4000)])
+    db.commit()
+    db.close()
+    s = Session(spark).attach(path, write=True)
+    assert rows(s, "SELECT count(*), min(x) FROM t WHERE x = 'ONE'") == [(1, "one")]
+    s.script("BEGIN; DELETE FROM u; ROLLBACK; UPDATE t SET y = id * 2 WHERE y IS NULL; DELETE FROM u WHERE a LIKE 'row 1%'")
+    with pytest.raises(errors.ConstraintFault):
+        s.sql("INSERT INTO t(x) VALUES (NULL)")
+    db = sqlite3.connect(path)
+    assert db.execute("PRAGMA integrity_check").fetchall() == [("ok",)] and db.execute("SELECT y FROM t ORDER BY id").fetchall() == [(1.5,), (14.0,)]
+    assert db.execute("SELECT count(*) FROM u").fetchone() == (1 + 4000 - 1111,)
+    db.execute("CREATE TABLE w(a INTEGER)")
+    db.executemany("INSERT INTO w VALUES (?)", [(1,), ("x",), (2.5,), (None,)])
+    db.execute("CREATE TABLE odd(a, b, PRIMARY KEY(a, b))")
+    root = db.execute("SELECT rootpage FROM sqlite_master WHERE name = 'w'").fetchone()[0]
+    db.commit()
+    db.close()
+    with pytest.warns(UserWarning, match="odd"):
+        s = Session(spark).attach(path)
+    assert sorted(rows(s, "SELECT a FROM w"), key=str) == [("1",), ("2.5",), ("x",), (None,)]
+    raw = bytearray(open(path, "rb").read())
+    raw[(root - 1) * 4096] = 99  # a page that is none
+    open(path, "wb").write(raw)
+    with pytest.raises(Exception, match="is no table page"):
+        Session(spark).attach(path)
+
+
+def test_shell(spark, tmp_path):
+    import io
+
+    from tessera.__main__ import main
+
+    def said(args, lines=()):
+        out, err = io.StringIO(), io.StringIO()
+        return main(args, Session(spark), lines, out, err), out.getvalue(), err.getvalue()
+
+    assert said(["-c", "VALUES (1, NULL, 2.50, 'a' || char(1) || 'b' || char(0) || 'c', x'41')"]) == (0, "1||2.5|a^Ab|A\n", "")
+    assert said(["-c", "SELECT nope"])[0] == 1 and "NoSuchColumn" in said(["-c", "SELECT nope"])[2]
+    path = str(tmp_path / "c.db")
+    lines = ["CREATE TABLE t(a INTEGER, b TEXT)", "", "SELECT oops(", "INSERT INTO t VALUES (1, 'x'), (2, 'y') RETURNING a", ".help", ".exit", "SELECT 5"]
+    code, out, err = said(["-file", path], lines)
+    assert code == 0 and out.startswith("1\n2\n") and ".help shows" in out and "5" not in out.splitlines() and err.startswith("error: SyntaxFault")
+    assert said(["-file", path, "-c", "SELECT b FROM t ORDER BY a DESC"]) == (0, "y\nx\n", "")
+    assert said(["-x", "1"])[0] == 2
+
+
 def test_plans(spark):
     """Filters and columns reach the scan; joins hash; top-k isn't a full sort."""
     from tessera import catalogue
