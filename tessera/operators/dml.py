@@ -46,11 +46,19 @@ def _frame(session, t: TableMeta) -> DataFrame:
     return df
 
 
-def _store(session, t: TableMeta, df: DataFrame, classes: list[str]) -> TableMeta:
-    """The next snapshot of a table."""
+#: Appended parts that a table may have before it is written as one.
+PARTS = 8
+
+
+def _store(session, t: TableMeta, df: DataFrame, classes: list[str], appended: bool = False) -> TableMeta:
+    """The next state of a table. What is appended is read beside what was there;
+    the parts are written as one now and then, so that plans stay small."""
     casts = [F.col(c.name).cast("string" if k == "null" else SPARK[k]).alias(c.name) for c, k in zip(t.columns, classes, strict=True)]
-    df = snapshot(df.select(*casts, F.col(ROWID).cast("long").alias(ROWID)), t.name)
+    df = df.select(*casts, F.col(ROWID).cast("long").alias(ROWID))
+    appended = appended and t.parts < PARTS
+    df = df if appended else snapshot(df, t.name)
     new = session.register(t.name, df, collations={c.name: c.coll for c in t.columns}, ipk=t.ipk, defs=t.defs, sql=t.sql)
+    new.parts = t.parts + 1 if appended else 1
     for c, k in zip(new.columns, classes, strict=True):
         c.cls = k
     return new
@@ -177,12 +185,13 @@ def insert(session, s: n.Insert) -> DataFrame:
             rows = rows.join(old.select(F.col(ROWID).alias("_id")), F.col(ROWID) == F.col("_id"), "left_anti")
         elif not ranked.where("_k > 1").isEmpty() or not ids.join(old, ids["_id"] == old[ROWID], "left_semi").isEmpty():
             raise ConstraintFault(f"{t.name}.{t.ipk} has to be unique")
-    rows = snapshot(rows, "inserted")
-    n_rows = rows.count()
-    _store(session, t, kept.select(*names, ROWID).unionByName(rows.select(*names, ROWID)), classes)
+    if s.action != "abort":  # else the rows are those that were numbered, and written with it
+        rows = snapshot(rows, "inserted")
+    n_rows, last = rows.agg(F.count("*"), F.max_by(ROWID, "_n")).first()
+    _store(session, t, kept.select(*names, ROWID).unionByName(rows.select(*names, ROWID)), classes, s.action != "replace")
     _count(session, n_rows)
     if n_rows:
-        session.counters["last_insert_rowid"] = rows.agg(F.max_by(ROWID, "_n")).first()[0]
+        session.counters["last_insert_rowid"] = last
     return _returning(session, t, rows.select(*names, ROWID), s.returning)
 
 

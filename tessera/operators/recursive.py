@@ -12,6 +12,8 @@ from ..storage import snapshot
 
 #: Rows that a recursion may make (fixed value of the dialect).
 MOST_ROWS = 10_000
+#: Rounds after which what was found is written as one, so that plans stay small.
+ROUNDS = 16
 
 
 def fixed_point(spark: SparkSession, view: str, start: str, again: str, most: int = MOST_ROWS) -> None:
@@ -19,7 +21,7 @@ def fixed_point(spark: SparkSession, view: str, start: str, again: str, most: in
     round sees the rows that the last one added; null equals null. The rounds
     are written to the shared folder, so the lineage doesn't grow."""
     delta = snapshot(spark.sql(start).distinct(), "recursion")
-    whole, size = delta, delta.count()
+    whole, size, rounds = delta, delta.count(), 0
     while True:
         if size > most:
             raise DialectError(f"a recursion of more than {most} rows")
@@ -31,6 +33,8 @@ def fixed_point(spark: SparkSession, view: str, start: str, again: str, most: in
         more = delta.count()
         if not more:
             break
-        size += more
+        size, rounds = size + more, rounds + 1
         whole = whole.unionAll(delta)
+        if not rounds % ROUNDS:
+            whole = snapshot(whole, "recursion")
     whole.select([F.col(c) for c in whole.columns]).createOrReplaceTempView(view)

@@ -41,6 +41,7 @@ class TableMeta:
     ipk: str | None = None
     defs: list = field(default_factory=list)
     sql: str = ""
+    parts: int = 1  # snapshots that the view reads
 
 
 def class_of(kind: T.DataType) -> str:

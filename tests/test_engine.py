@@ -177,6 +177,26 @@ def test_file_mode(spark, tmp_path):
         Session(spark).attach(path)
 
 
+def test_streams_are_tables(spark, tmp_path):
+    """A streaming DataFrame can be registered; queries over it are streams."""
+    spark.createDataFrame([(i % 3, float(i)) for i in range(30)], "k long, v double").write.parquet(str(tmp_path / "in"))
+    s = Session(spark)
+    s.register("ev", spark.readStream.schema("k long, v double").parquet(str(tmp_path / "in")))
+    out = s.sql("SELECT k, count(*) AS n, sum(v) AS t FROM ev WHERE v > 2 GROUP BY k HAVING count(*) > 1")
+    assert out.isStreaming
+    q = out.writeStream.format("memory").queryName("streamed").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(tuple(r) for r in spark.table("streamed").collect()) == [(0, 9, 135.0), (1, 9, 144.0), (2, 9, 153.0)]
+
+
+def test_appends_become_one_snapshot(spark):
+    s = Session(spark)
+    s.sql("CREATE TABLE t(a INTEGER)")
+    for i in range(10):
+        s.sql(f"INSERT INTO t VALUES ({i}), ({i})")
+    assert s.tables["t"].parts < 10 and rows(s, "SELECT count(*), sum(a), last_insert_rowid() FROM t") == [(20, 90, 20)]
+
+
 def test_shell(spark, tmp_path):
     import io
 
