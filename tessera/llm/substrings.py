@@ -35,6 +35,8 @@ WINDOW = 35
 #: Bits of a probe, whatever the size of the corpus.
 KEY_BITS = 56
 _SHIFT = U(64 - KEY_BITS)
+#: Buckets a partition at least, so that partitions get about as many each.
+SPREAD = 8
 #: Candidate windows of a text whose least probes are sought together.
 STEP = 1 << 16
 
@@ -186,7 +188,7 @@ def _known(answers: pd.DataFrame) -> np.ndarray:
     return np.sort(np.concatenate(parts)) if parts else np.empty(0, U)
 
 
-def _marked(texts: list[bytes], answers: pd.DataFrame, block: int, window: int, buckets: int) -> dict[int, list[int]]:
+def _marked(texts: list[bytes], answers: pd.DataFrame, block: int, window: int, buckets: int) -> dict[int, list[np.ndarray]]:
     """The shared windows of each text of a chunk, by their first words."""
     known = _known(answers)
     if not len(known):
@@ -194,14 +196,14 @@ def _marked(texts: list[bytes], answers: pd.DataFrame, block: int, window: int,
     runs, places = _runs(texts, known, block, window)
     bits = {int(b): np.unpackbits(np.frombuffer(d, np.uint8)) for b, d in answers.loc[answers["kind"] == 1, ["bucket", "data"]].itertuples(index=False)}
     of = _bucket(np.array([p for p, _ in runs], U), buckets)
-    out: dict[int, list[int]] = {}
+    out: dict[int, list[np.ndarray]] = {}
     at = dict.fromkeys(bits, 0)
     for run, b in zip(runs, of.tolist(), strict=True):
         n = run[1].count(b" ") + 2 - window
-        good = np.flatnonzero(bits[b][at[b] : at[b] + n]).tolist()
+        good = np.flatnonzero(bits[b][at[b] : at[b] + n])
         at[b] += n
         for text, first in places[run]:
-            out.setdefault(text, []).extend(first + g for g in good)
+            out.setdefault(text, []).append(first + good)
     return out
 
 
@@ -219,7 +221,7 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     block = (window + 1) // 2
     chunks = chunk_count(docs)
-    buckets = max(shuffle_partitions(docs.sparkSession), chunks // 4)
+    buckets = max(SPREAD * shuffle_partitions(docs.sparkSession), chunks // 4)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     salt = ["doc_id", F.length("text")]
     if ambiguous(base, "doc_id"):  # rows that an id doesn't tell apart are numbered once, and dealt by that
@@ -255,7 +257,7 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             parts, repeats = t.split(), 0
             kept = parts
             if n in marks:
-                at = np.unique(np.array(marks[n], np.int64))
+                at = np.unique(np.concatenate(marks[n]))
                 repeats = 1 + int((np.diff(at) > 1).sum()) if len(at) else 0
                 step = np.zeros(len(parts) + 1, np.int32)
                 step[at] += 1

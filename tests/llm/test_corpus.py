@@ -105,7 +105,7 @@ def test_windows_are_compared_by_their_words(spark, monkeypatch):
     told = substrings._compared(pd.DataFrame(told, columns=asked.columns), window)
     marks = substrings._marked(texts, pd.concat([shared, told]), block, window, buckets)
     for n, want in enumerate(brute_repeats(rows, window)):
-        gone = {i + j for i in marks.get(n, []) for j in range(window)}
+        gone = {i + j for part in marks.get(n, []) for i in part for j in range(window)}
         assert len(gone) == want[2]
 
 
