@@ -117,6 +117,9 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "limit_negative": ("SELECT n_nationkey FROM nation ORDER BY 1 LIMIT -1 OFFSET 3", "SELECT n_nationkey FROM nation ORDER BY 1 OFFSET 3"),
     "limit_expression": ("SELECT c_custkey FROM customer ORDER BY 1 LIMIT (SELECT count(*) FROM region) + '2'", "SELECT c_custkey FROM customer ORDER BY 1 LIMIT 7"),
     "distinct_rows": ("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", None),
+    "distinct_order_other": (
+        "SELECT DISTINCT o_custkey, o_orderstatus FROM orders ORDER BY o_totalprice % 1000 DESC, o_custkey LIMIT 100",
+        "SELECT o_custkey, o_orderstatus FROM orders GROUP BY 1, 2 ORDER BY arg_min(CAST(trunc(o_totalprice) % 1000 AS DOUBLE), o_orderkey) DESC, o_custkey LIMIT 100"),
     "distinct_nocase": ("SELECT DISTINCT upper(event_type) COLLATE NOCASE AS e FROM events", "SELECT DISTINCT upper(event_type) AS e FROM events"),
     "collate_compare": ("SELECT c_custkey FROM customer WHERE c_mktsegment = 'building' COLLATE NOCASE AND c_name || '  ' = c_name COLLATE RTRIM", "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building'"),
     # --- set operations
