@@ -62,6 +62,9 @@ QUERIES: dict[str, tuple[str, str | None]] = {
         "SELECT n_nationkey, 0 AS a, 1 AS b, 1 AS c, CAST(n_name = 'x' AS INTEGER) AS d FROM nation"),
     "like_ci": ("SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%BRASS%' OR p_name LIKE '_a%'", "SELECT p_partkey, p_type FROM part WHERE lower(p_type) LIKE '%brass%' OR lower(p_name) LIKE '_a%'"),
     "like_escape": ("SELECT page_id FROM pages WHERE url LIKE '%utm\\_source%' ESCAPE '\\'", "SELECT page_id FROM pages WHERE lower(url) LIKE '%utm\\_source%' ESCAPE '\\'"),
+    "like_escape_column": (
+        "SELECT p_partkey, p_name LIKE '!' || substr(p_name, 1, 1) || '%' ESCAPE '!' AS a, 'a_b' LIKE 'A' || CASE p_size % 2 WHEN 0 THEN '!' ELSE '?' END || '_B' ESCAPE CASE p_size % 2 WHEN 0 THEN '!' ELSE '?' END AS b, 'axb' LIKE 'a' || p_size || '_b' ESCAPE substr(p_size, -1) AS c FROM part",
+        "SELECT p_partkey, 1 AS a, 1 AS b, 0 AS c FROM part"),
     "glob_class": ("SELECT c_custkey FROM customer WHERE c_name GLOB '*[0-4][^5]' AND c_mktsegment GLOB '[A-M]*'", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '^.*[0-4][^5]$') AND regexp_matches(c_mktsegment, '^[A-M].*$')"),
     "fn_like_glob": ("SELECT p_partkey, like('%brass', p_type) AS a, glob('*BRASS', p_type) AS b, like('a!%b', 'A%B', '!') AS c, p_name GLOB substr(p_name, 1, 1) || '*' AS d FROM part",
                      "SELECT p_partkey, CAST(lower(p_type) LIKE '%brass' AS INTEGER) AS a, CAST(p_type LIKE '%BRASS' AS INTEGER) AS b, 1 AS c, 1 AS d FROM part"),

@@ -117,12 +117,12 @@ def match(op: str, subject: E, pattern: E, escape: E | None = None) -> str:
     if escape is not None:
         if escape.cls == "null":
             return "CAST(NULL AS BOOLEAN)"
-        if not (escape.literal and isinstance(escape.value, str)) or len(escape.value.encode()) != 1:
+        if escape.literal and (not isinstance(escape.value, str) or len(escape.value) != 1):
             raise InvalidEscape("ESCAPE takes one character")
-        if not pattern.literal:
-            raise Unsupported("ESCAPE needs a literal pattern")
     if "null" in (subject.cls, pattern.cls):
         return "CAST(NULL AS BOOLEAN)"
+    if escape is not None and not (escape.literal and pattern.literal):
+        return f"d_like({text(pattern)}, {text(subject)}, {text(escape)})"
     if op == "like":
         return core.like(subject, pattern, escape)
     if pattern.literal:
