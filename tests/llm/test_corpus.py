@@ -561,3 +561,25 @@ def test_items_without_an_id_and_in_long_texts(spark, monkeypatch):
         assert {(r.doc_id, r.item_id, r.edits) for r in decontam.leaks(docs, bench).collect()} == want
         left = decontam.clean(docs, bench)
         assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [4, 5]
+
+
+def test_licenses_recall(spark):
+    """Licences of many lines amid other text, with words changed, are found
+    where their coefficient reaches the threshold."""
+    rng = random.Random(21)
+    long = {k: v for k, v in licenses.TEMPLATES.items() if len(v) > 300}
+    rows, want = [], set()
+    for n in range(48):
+        name = sorted(long)[n % len(long)]
+        words = [rng.choice(WORDS) if rng.random() < 0.04 else w for w in long[name].split()]
+        width, lines_ = rng.randint(8, 16), []
+        for at in range(0, len(words), width):
+            lines_.append(" ".join(words[at : at + width]))
+        body = "\n".join(lines_) if n % 3 else "\n\n".join("\n".join(lines_[i : i + 4]) for i in range(0, len(lines_), 4))
+        code = lambda: "\n".join(f"x{k} = f({rng.choice(WORDS)})" for k in range(rng.randint(1, 30)))
+        rows.append((n, f"{code()}\n{body}\n{code()}"))
+        a, b = set(licenses.bigrams_of(" ".join(words))), set(licenses.bigrams_of(long[name]))
+        if 2 * len(a & b) / (len(a) + len(b)) >= 0.8:
+            want.add((n, name))
+    got = {(r.doc_id, r.license_id) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert len(want) > 40 and want <= got
