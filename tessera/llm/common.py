@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
@@ -56,6 +57,16 @@ def dropped(df: DataFrame | None) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Texts of an Arrow batch that a worker holds as Python strings at a time.
+ROWS = 512
+
+
+def slices(column) -> Iterator[list[str | None]]:
+    """The values of an Arrow column, some rows at a time."""
+    for at in range(0, len(column), ROWS):
+        yield column.slice(at, ROWS).to_pylist()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

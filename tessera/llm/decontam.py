@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import slices, staged
 
 Q = 8
 ERROR = 0.1
@@ -384,7 +384,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
         def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
             index = _index(name, shared, error)
             for b in batches:
-                keep = [not index.found(*_codes(normalised(t))) for t in b.column(place).to_pylist()]
+                keep = [not index.found(*_codes(normalised(t))) for part in slices(b.column(place)) for t in part]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
         out = out.mapInArrow(run, T.StructType(docs.schema.fields))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ambiguous, dropped, shuffle_partitions, staged
+from .common import ambiguous, dropped, shuffle_partitions, slices, staged
 
 SHINGLE = 3
 RADIUS = 2
@@ -145,12 +145,16 @@ def fingerprint(text: str | None) -> int:
     return int(fingerprints_of([text])[0])
 
 
+def _fingerprints(column) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.uint64), *(fingerprints_of(part) for part in slices(column))])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp`` (signed 64 bits) for each row. Null and empty texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = fingerprints_of(b.column(1).to_pylist())
+            fp = _fingerprints(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -326,7 +330,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                fp = fingerprints_of(b.column(place).to_pylist())
+                fp = _fingerprints(b.column(place))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*b.schema.names, "_fp"])
 
         rows = staged(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])), "op6-rows")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropped, staged
+from .common import dropped, slices, staged
 from .wordhash import BYTE_BASE, MASK, PIECE, U, grouped, mix, pieces, powers, spans
 
 #: The documented bound of the sample that is fitted.
@@ -245,8 +245,8 @@ def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = shared.value.scores([_bytes(t) for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["doc_id", "score"])
+            s = [shared.value.scores(list(map(_bytes, part))) for part in slices(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([np.empty(0), *s]))], names=["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -260,6 +260,7 @@ def without_toxic(docs: DataFrame, machine: Machine, text_col: str = "text", thr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(shared.value.scores([_bytes(t) for t in b.column(place).to_pylist()]) < threshold))
+            s = [shared.value.scores(list(map(_bytes, part))) for part in slices(b.column(place))]
+            yield b.filter(pa.array(np.concatenate([np.empty(0), *s]) < threshold))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
