@@ -123,7 +123,11 @@ def _returning(session, t: TableMeta, affected: DataFrame, items) -> DataFrame:
     session.tables[t.name] = TableMeta(t.name, name, shadow.columns, [ROWID])
     try:
         q = n.Query([], [n.Select(items, sources=[n.Source("table", t.name, None)])], [])
-        return session.frame(Planner(session).query(q))
+        rel = Planner(session).query(q, ordered=True)
+        if rel.rowid:  # in the order of the rows' ids
+            heads = ", ".join(f"c{i}" for i in range(len(rel.cols)))
+            rel = Rel(f"SELECT {heads} FROM ({rel.sql}) ORDER BY {', '.join(rel.rowid)}", rel.cols)
+        return session.frame(rel)
     finally:
         session.tables[t.name] = shadow
 
