@@ -117,6 +117,22 @@ def test_substrings(spark, window):
     assert substrings.repeats_removed(frame(spark, [])).count() == 0
 
 
+def test_substring_query_gives_what_its_sql_gives(spark, tmp_path):
+    import duckdb
+
+    from tessera.llm import queries
+
+    # of corpus(), the rows that the SQL's joins by id can tell apart
+    rows = [(i, t) for i, t in dict(corpus()).items() if i is not None]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op3_substring_dedup(spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = db.execute(queries.oracle_sql()["op3_substring_dedup"])
+    assert got.columns == [c[0] for c in want.description]
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_lines(spark):
     rows = [r for r in corpus() if r[0] is not None] + [(200, "line one\n\n line two \nother"), (201, "\n\n"), (202, "z\nz\nz\nz")]
     docs = dict(reversed(rows))
