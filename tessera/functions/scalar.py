@@ -314,7 +314,7 @@ fn("timediff", 2)(lambda a: E(f"d_timediff({dates.instant(a[0], [])[0]}, {dates.
 def _printf(a):
     if a[0].cls == "null":
         return E("CAST(NULL AS STRING)", "text")
-    kinds = "".join({"int": "i", "real": "r"}.get(x.cls, "t") for x in a[1:])
+    kinds = "".join({"int": "i", "real": "R" if x.signed else "r"}.get(x.cls, "t") for x in a[1:])
     plain = lambda x: f"CAST({x.sql} AS STRING)" if x.cls in ("int", "real") else text(x)
     shown = [plain(x) if x.cls != "real" or not any(c in str(a[0].value) for c in "szcqQw") else text(x) for x in a[1:]]
     return E(f"d_printf({', '.join([text(a[0]), quoted(kinds), *shown])})", "text")

@@ -12,7 +12,8 @@ from .errors import DatatypeMismatch
 @dataclass
 class E:
     """An expression: Spark SQL text, its storage class, the collation that it
-    carries (explicit ones win) and, for a literal, its value."""
+    carries (explicit ones win), for a literal its value, and whether it is a
+    column of reals whose negative zeros keep their sign as text."""
 
     sql: str
     cls: str  # int, real, text, blob, null, bool, ts, any
@@ -20,6 +21,7 @@ class E:
     explicit: bool = False
     value: object = None
     literal: bool = False
+    signed: bool = False
 
 
 @dataclass
@@ -27,6 +29,7 @@ class Col:
     name: str
     cls: str
     coll: str = "binary"
+    signed: bool = False
 
 
 @dataclass

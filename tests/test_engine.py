@@ -245,3 +245,29 @@ def test_timediff_of_all_orders(spark):
         want[r.o_orderkey] = f"+{months // 12:04d}-{months % 12:02d}-{left.days:02d} {h:02d}:{ms // 60000:02d}:{ms // 1000 % 60:02d}.{ms % 1000:03d}"
     got = catalogue.queries()["fn_timediff"](spark, folder).collect()
     assert len(got) == len(want) > 500 and {r.o_orderkey: r.d for r in got} == want
+
+
+ZEROS = [(1, "a", 0, -0.0, "X"), (2, "b", 1, 0.0, "Y"), (3, "c", 2, -0.004, "Z"), (4, "d", 3, -12.5, "X"), (5, "e", 4, 9999.99, "Y")]
+
+
+@pytest.fixture(scope="module")
+def zeros(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("zeros"))
+    spark.createDataFrame(ZEROS, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{folder}/customer.parquet")
+    return folder
+
+
+def same_as_sql(spark, folder, name):
+    import duckdb
+
+    from tessera import catalogue
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{folder}/customer.parquet/*.parquet')")
+    want = sorted(db.execute(catalogue.oracle_sql()[name]).fetchall())
+    assert sorted(map(tuple, catalogue.queries()[name](spark, folder).collect())) == want
+    return want
+
+
+def test_printf_number_of_a_negative_zero(spark, zeros):
+    assert same_as_sql(spark, zeros, "fn_printf_number")[0][1].startswith("1st|-0.000000e+00|-0.000E+00|")
