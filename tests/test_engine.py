@@ -271,3 +271,17 @@ def same_as_sql(spark, folder, name):
 
 def test_printf_number_of_a_negative_zero(spark, zeros):
     assert same_as_sql(spark, zeros, "fn_printf_number")[0][1].startswith("1st|-0.000000e+00|-0.000E+00|")
+
+
+def test_real_text_of_a_negative_zero(spark, zeros):
+    assert same_as_sql(spark, zeros, "fn_real_text")[0][1] == "-0.0"
+    at = "FROM customer WHERE c_custkey = 1"
+    s = Session(spark).load(zeros, ["customer"])
+    # columns of Parquet files keep the sign, through subqueries and sets too
+    assert rows(s, f"SELECT r || '', quote(r), CAST(r COLLATE NOCASE AS TEXT), printf('%s %d', r, r) FROM (SELECT c_acctbal AS r {at})") == [("-0.0", "-0.0", "-0.0", "-0.0 0")]
+    assert rows(s, f"WITH w(r) AS (SELECT c_acctbal {at}) SELECT r || '' FROM w UNION ALL SELECT r FROM w UNION ALL SELECT r || '' FROM (SELECT r FROM w UNION ALL SELECT r FROM w)") == [("-0.0",)] * 4
+    assert rows(s, f"SELECT c_acctbal || '' {at} GROUP BY c_custkey") == [("-0.0",)]
+    # what the dialect computes or stores has none
+    assert rows(s, f"SELECT -0.0 || '', (0.0 * -1) || '', (c_acctbal * 1) || '', round(c_acctbal) || '', printf('%f', -0.0), printf('%+e', c_acctbal * 1) {at}") == [("0.0", "0.0", "0.0", "0.0", "0.000000", "+0.000000e+00")]
+    assert rows(s, f"CREATE TABLE z(x REAL); INSERT INTO z SELECT c_acctbal {at}; SELECT x || '' FROM z") == [("0.0",)]
+    assert rows(s, "SELECT printf('%.1f', x) FROM z") == [("0.0",)]
