@@ -285,3 +285,9 @@ def test_real_text_of_a_negative_zero(spark, zeros):
     assert rows(s, f"SELECT -0.0 || '', (0.0 * -1) || '', (c_acctbal * 1) || '', round(c_acctbal) || '', printf('%f', -0.0), printf('%+e', c_acctbal * 1) {at}") == [("0.0", "0.0", "0.0", "0.0", "0.000000", "+0.000000e+00")]
     assert rows(s, f"CREATE TABLE z(x REAL); INSERT INTO z SELECT c_acctbal {at}; SELECT x || '' FROM z") == [("0.0",)]
     assert rows(s, "SELECT printf('%.1f', x) FROM z") == [("0.0",)]
+
+
+def test_printf_of_a_negative_zero(spark, zeros):
+    assert same_as_sql(spark, zeros, "fn_printf")[0][1] == "00001|X           |   -0.00|1"
+    show = lambda v, c: "" if v is None else str(v)
+    assert rendered("%.1f %+g %d %r", "RrRR", ["-0.0"] * 4, show) == "-0.0 +0 0 0th"
