@@ -8,6 +8,7 @@ from ..errors import DatatypeMismatch, InvalidEscape, SyntaxFault, UnknownFuncti
 from ..types import E, joined
 from . import core, dates
 from .core import as_class, integer, lit, quoted, real, strict, text, truthy, value
+from .python_parts import shown_as_text
 
 REGISTRY: dict[str, tuple[int, int | None, Callable[[list[E]], E]]] = {}
 
@@ -316,7 +317,9 @@ def _printf(a):
         return E("CAST(NULL AS STRING)", "text")
     kinds = "".join({"int": "i", "real": "R" if x.signed else "r"}.get(x.cls, "t") for x in a[1:])
     plain = lambda x: f"CAST({x.sql} AS STRING)" if x.cls in ("int", "real") else text(x)
-    shown = [plain(x) if x.cls != "real" or not any(c in str(a[0].value) for c in "szcqQw") else text(x) for x in a[1:]]
+    # text has 15 digits of a real; numbers are made of all of them
+    as_text = shown_as_text(str(a[0].value))
+    shown = [text(x) if x.cls == "real" and i in as_text else plain(x) for i, x in enumerate(a[1:])]
     return E(f"d_printf({', '.join([text(a[0]), quoted(kinds), *shown])})", "text")
 
 

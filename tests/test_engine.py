@@ -291,3 +291,15 @@ def test_printf_of_a_negative_zero(spark, zeros):
     assert same_as_sql(spark, zeros, "fn_printf")[0][1] == "00001|X           |   -0.00|1"
     show = lambda v, c: "" if v is None else str(v)
     assert rendered("%.1f %+g %d %r", "RrRR", ["-0.0"] * 4, show) == "-0.0 +0 0 0th"
+
+
+def test_printf_of_reals_with_more_than_15_digits(spark, tmp_path):
+    at = [4.0150000000000006, 1.0049999999999999, 2333.3650000000002, -4516.9650000000001, 0.12500000000000003, 123456789012345.67, 9999.99]
+    kept = [(i, f"n{i}", 0, x, "X") for i, x in enumerate(at)]
+    spark.createDataFrame(kept, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    assert [p for _, p in same_as_sql(spark, str(tmp_path), "fn_printf")][4] == "00004|X           |    0.13|4"
+    # text still has 15 digits, whatever takes the arguments before it
+    s = Session(spark).load(str(tmp_path), ["customer"])
+    r = "c_acctbal"
+    got = rows(s, f"SELECT printf('%.17g cwqs %s|%%|%n%*.*f %s|%-8.3s|%.2f', {r}, {r}, 20, 17, {r}, {r}, {r}, {r}) FROM customer WHERE c_custkey = 4")
+    assert got == [("0.12500000000000003 cwqs 0.125|%| 0.12500000000000003 0.125|0.1     |0.13",)]
